@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm.format_copies import record_copies, records
+from tallyloom.llm.languages import document_languages, language_findings
 from tallyloom.llm.leakage import leaked_items
+from tallyloom.llm.name_variants import name_entities, name_pairs
 from tallyloom.llm.nearest_time import nearest_in_time
 from tallyloom.llm.packing import container_fill, pack_documents
 from tallyloom.tables import Tables
@@ -22,11 +24,15 @@ def over(f: Callable[[Tables], DataFrame]) -> Query:
 QUERIES: dict[str, Query] = {
     "p3_found": over(lambda t: record_copies(t.raw_txn)),
     "p3_records": over(lambda t: records(t.raw_txn)),
+    "p4_found": over(lambda t: name_pairs(t.raw_txn, "counterparty_name")),
+    "p4_entities": over(lambda t: name_entities(t.raw_txn, "counterparty_name")),
     "p7_found": over(lambda t: nearest_in_time(t.txn_source, t.txn_target, "ref", "value_ts", "ordinal")),
     "p8_packed": over(lambda t: pack_documents(t.documents)),
     "p8_fill": over(lambda t: container_fill(pack_documents(t.documents))),
     "p9_found": over(lambda t: leaked_items(t.documents, t.eval_item).select("doc_id", "item_id").distinct()),
     "p9_coverage": over(lambda t: leaked_items(t.documents, t.eval_item, min_tile=6, min_run=12, min_coverage=0.5)),
+    "p10_found": over(lambda t: language_findings(document_languages(t.documents))),
+    "p10_languages": over(lambda t: document_languages(t.documents)),
 }
 
 _FORM = r"lower(regexp_replace({0}, '[^\p{{L}}\p{{M}}\p{{N}}]+', '', 'g'))"
