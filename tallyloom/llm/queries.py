@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyloom.llm.entity_match import matched_entries
 from tallyloom.llm.format_copies import record_copies, records
 from tallyloom.llm.languages import document_languages, language_findings
 from tallyloom.llm.leakage import leaked_items
@@ -26,6 +27,8 @@ QUERIES: dict[str, Query] = {
     "p3_records": over(lambda t: records(t.raw_txn)),
     "p4_found": over(lambda t: name_pairs(t.raw_txn, "counterparty_name")),
     "p4_entities": over(lambda t: name_entities(t.raw_txn, "counterparty_name")),
+    "p6_found": over(lambda t: matched_entries(t.book_entry, t.stmt_entry, t.matched_pair).where("score >= 0.5").select("book_entry_id", "stmt_entry_id")),
+    "p6_scored": over(lambda t: matched_entries(t.book_entry, t.stmt_entry, t.matched_pair)),
     "p7_found": over(lambda t: nearest_in_time(t.txn_source, t.txn_target, "ref", "value_ts", "ordinal")),
     "p8_packed": over(lambda t: pack_documents(t.documents)),
     "p8_fill": over(lambda t: container_fill(pack_documents(t.documents))),
