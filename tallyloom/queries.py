@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyloom import ledger_queries
 from tallyloom.operators.copies import by_column, case_rows, diff_copies, ledger_differences, reason_form
 from tallyloom.operators.rejects import load_lines, loaded_rows, row_errors
 from tallyloom.operators.timestamps import changed_timestamps
@@ -40,8 +41,8 @@ DATA_SQL: dict[str, str] = {
 
 
 def queries() -> dict[str, Query]:
-    return dict(DATA_QUERIES)
+    return DATA_QUERIES | ledger_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(DATA_SQL)
+    return DATA_SQL | ledger_queries.SQL
