@@ -25,14 +25,18 @@ def split_line(line: Column, delimiter: Column) -> Column:
     quote; every other must begin and end with the delimiter, and no piece outside may hold a line break. The
     control character U+0001 in a line becomes U+FFFD. Text of any length is cut without recursion.
     """
-    pieces = F.split(F.translate(line, MARK, INNER), '"', -1)
-    n = F.size(pieces)
-    inner_ok = lambda x, i: (i % 2 == 1) | (((i == 0) | (x == "") | x.startswith(delimiter)) & ((i == n - 1) | (x == "") | x.endswith(delimiter)) & ~x.rlike(r"[\r\n]"))
-    checked = F.transform(pieces, inner_ok)
-    # At the line's ends an empty piece means a field that begins or ends with its quote.
-    sound = (n % 2 == 1) & F.forall(checked, lambda ok: ok)
-    joined = F.array_join(F.transform(pieces, lambda x, i: F.when(i % 2 == 1, x).when((x == "") & (i > 0) & (i < n - 1), F.lit('"')).otherwise(F.call_function("translate", x, delimiter, F.lit(MARK)))), "")
-    return F.when(sound, F.split(joined, MARK, -1))
+
+    def fields(pieces: Column) -> Column:
+        n = F.size(pieces)
+        inner_ok = lambda x, i: (i % 2 == 1) | (((i == 0) | (x == "") | x.startswith(delimiter)) & ((i == n - 1) | (x == "") | x.endswith(delimiter)) & ~x.rlike(r"[\r\n]"))
+        # At the line's ends an empty piece means a field that begins or ends with its quote.
+        sound = (n % 2 == 1) & F.forall(F.transform(pieces, inner_ok), lambda ok: ok)
+        outside = lambda x: F.call_function("translate", x, delimiter, F.lit(MARK))
+        joined = F.array_join(F.transform(pieces, lambda x, i: F.when(i % 2 == 1, x).when((x == "") & (i > 0) & (i < n - 1), F.lit('"')).otherwise(outside(x))), "")
+        return F.when(sound, F.split(joined, MARK, -1))
+
+    # As a variable of a lambda the pieces are cut once and not for each of them.
+    return F.transform(F.array(F.split(F.translate(line, MARK, INNER), '"', -1)), fields)[0]
 
 
 def parse_lines(raw_line: DataFrame, feed_info: DataFrame) -> DataFrame:

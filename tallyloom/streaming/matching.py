@@ -22,16 +22,16 @@ def normalize_stream(raw: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
     return normalize(raw, side)
 
 
-def match_stream(transactions: DataFrame, options: ReconOptions | None = None, pipeline: Sequence[MatchStrategy] | None = None, wait: str = "7 days") -> DataFrame:
+def match_stream(transactions: DataFrame, options: ReconOptions | None = None, pipeline: Sequence[MatchStrategy] | None = None, wait: str | None = None) -> DataFrame:
     """Pairs from one stream of both sides (side 'S' or 'T', ref, currency, ordinal, amount, value_date).
 
     In each micro-batch a bucket's new targets join those that wait, then its new sources take turns in order of ordinal
     with the given built-in strategies. A source that finds nothing isn't kept. State is a bucket's unclaimed
-    targets; a bucket without rows for `wait` of processing time is forgotten. Rows without reference or currency are
-    left out.
+    targets; with wait ('7 days'), a bucket without rows for so much processing time is forgotten (such a stream
+    always has a next batch, so the trigger availableNow never ends it). Rows without reference or currency are left out.
     """
     options, pipeline = options or ReconOptions(), default_pipeline() if pipeline is None else list(pipeline)
-    wait_ms = int(pd.Timedelta(wait).total_seconds() * 1000)
+    wait_ms = int(pd.Timedelta(wait).total_seconds() * 1000) if wait else None
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -48,9 +48,10 @@ def match_stream(transactions: DataFrame, options: ReconOptions | None = None, p
                 yield pairs
         if len(targets):
             state.update((targets["ordinal"].astype("int64").tolist(), targets["amount"].tolist(), targets["date"].tolist()))
-            state.setTimeoutDuration(wait_ms)
+            if wait_ms:
+                state.setTimeoutDuration(wait_ms)
         elif state.exists:
             state.remove()
 
     kept = transactions.where("ref is not null and currency is not null and ordinal is not null").selectExpr("ref", "currency", "side", "ordinal", "cast(amount as decimal(18,2)) as amount", "value_date")
-    return kept.groupBy(*KEY).applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return kept.groupBy(*KEY).applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if wait_ms else GroupStateTimeout.NoTimeout)
