@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyloom.functions.amounts import wide_trim
+from tallyloom.functions.amounts import let, wide_trim
 
 NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d{1,2})?$"
 ZONE = r"(?: ?(?:Z|UTC|GMT|[+-]\d{2}(?::?\d{2})?))?"
@@ -19,7 +19,8 @@ YEAR_FIRST = rf"^(\d{{4}})[-/](\d{{1,2}})[-/](\d{{1,2}})({TIME})$"
 YEAR_LAST = rf"^(\d{{1,2}})([/.-])(\d{{1,2}})\2(\d{{4}})({TIME})$"
 COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
 #: Forms with words, by Spark's patterns.
-WORDED = ("M/d/yyyy h:mm:ss a", "d MMM yyyy", "MMM d, yyyy", "d MMM yyyy HH:mm:ss Z")
+WORDED = r"(?i)(?:[AP]M$|^(?:[A-Z]{3}, )?\d{1,2} [A-Z]{3} \d{4}|^[A-Z]{3} \d{1,2}, \d{4})"
+WORDED_FORMS = ("M/d/yyyy h:mm:ss a", "d MMM yyyy", "MMM d, yyyy", "d MMM yyyy HH:mm:ss Z")
 
 
 def is_blank(text: Column) -> Column:
@@ -38,10 +39,13 @@ def parse_amount(text: Column) -> Column:
     comma is thus always a decimal mark, and of two no number is made. Parentheses and a minus behind negate; the
     sign ¤, an exponent and a plus are allowed.
     """
-    t = F.regexp_replace(wide_trim(text), r"\s*¤\s*", "")
-    marked = F.when(t.rlike(r",[^.]*$"), F.translate(t, ",.", ".")).otherwise(F.translate(t, ",", ""))
-    signed = F.regexp_replace(F.regexp_replace(marked, r"^\(\s*([^()+-]*?)\s*\)$", "-$1"), r"^([^+-]*?)\s*-$", "-$1")
-    return F.when(signed.rlike(NUMBER), signed.try_cast("decimal(38,10)"))
+
+    def number(t: Column) -> Column:
+        marked = F.when(t.rlike(r",[^.]*$"), F.translate(t, ",.", ".")).otherwise(F.translate(t, ",", ""))
+        signed = F.regexp_replace(F.regexp_replace(marked, r"^\(\s*([^()+-]*?)\s*\)$", "-$1"), r"^([^+-]*?)\s*-$", "-$1")
+        return let(signed, lambda x: F.when(x.rlike(NUMBER), x.try_cast("decimal(38,10)")))
+
+    return let(F.regexp_replace(wide_trim(text), r"\s*¤\s*", ""), number)
 
 
 def round_money(value: Column) -> Column:
@@ -55,15 +59,21 @@ def normalize_amount(text: Column) -> Column:
 
 def parse_date(text: Column) -> Column:
     """timestamp, or null. Year first, with or without time and offset; month first where the first number can be a month, else day first; eight digits; a few forms with words."""
-    t = wide_trim(text)
-    first, second = F.regexp_extract(t, YEAR_LAST, 1), F.regexp_extract(t, YEAR_LAST, 3)
-    month_day = F.when(first.try_cast("int") <= 12, F.concat(first, F.lit("-"), second)).otherwise(F.concat(second, F.lit("-"), first))
-    turned = F.concat(F.regexp_extract(t, YEAR_LAST, 4), F.lit("-"), month_day, F.regexp_extract(t, YEAR_LAST, 5))
-    iso = F.when(t.rlike(YEAR_FIRST), F.regexp_replace(t, YEAR_FIRST, "$1-$2-$3$4")).when(t.rlike(YEAR_LAST), turned).when(t.rlike(COMPACT), F.regexp_replace(t, COMPACT, "$1-$2-$3"))
-    whole = F.regexp_replace(F.regexp_replace(iso, r"(:\d{2}(?:\.\d+)? ?[+-]\d{2})(\d{2})$", "$1:$2"), r"(:\d{2}(?:\.\d+)? ?[+-]\d{2})$", "$1:00")
-    plain = F.regexp_replace(t, r"^[A-Za-z]{3}, ", "")
-    worded = F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in WORDED])
-    return F.when(iso.isNotNull(), whole.try_cast("timestamp")).when(t.rlike("[A-Za-z]"), worded)
+
+    def iso(t: Column) -> Column:
+        first, second = F.regexp_extract(t, YEAR_LAST, 1), F.regexp_extract(t, YEAR_LAST, 3)
+        month_day = F.when(first.try_cast("int") <= 12, F.concat(first, F.lit("-"), second)).otherwise(F.concat(second, F.lit("-"), first))
+        turned = F.concat(F.regexp_extract(t, YEAR_LAST, 4), F.lit("-"), month_day, F.regexp_extract(t, YEAR_LAST, 5))
+        return F.when(t.rlike(YEAR_FIRST), F.regexp_replace(t, YEAR_FIRST, "$1-$2-$3$4")).when(t.rlike(YEAR_LAST), turned).when(t.rlike(COMPACT), F.regexp_replace(t, COMPACT, "$1-$2-$3"))
+
+    def cast(x: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(x, r"(:\d{2}(?:\.\d+)? ?[+-]\d{2})(\d{2})$", "$1:$2"), r"(:\d{2}(?:\.\d+)? ?[+-]\d{2})$", "$1:00").try_cast("timestamp")
+
+    def worded(t: Column) -> Column:
+        plain = F.regexp_replace(t, r"^[A-Za-z]{3}, ", "")
+        return F.when(t.rlike(WORDED), F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in WORDED_FORMS]))
+
+    return let(wide_trim(text), lambda t: let(iso(t), lambda x: F.when(x.isNotNull(), cast(x)).otherwise(worded(t))))
 
 
 def normalize_description(text: Column) -> Column:

@@ -15,7 +15,7 @@ from tallyloom.operators.classify import classify
 from tallyloom.operators.match import match, unmatched_sources, unmatched_targets
 from tallyloom.operators.normalize import normalize
 from tallyloom.options import ReconOptions
-from tallyloom.plans.shared import write_table
+from tallyloom.plans.shared import spread, write_table
 from tallyloom.plans.strategies import MatchStrategy
 
 
@@ -60,8 +60,8 @@ def reconcile(source: DataFrame, target: DataFrame, options: ReconOptions | None
     began = datetime.now(UTC)
     rejects = None
     if raw:
-        source, bad_s = normalize(source, "S")
-        target, bad_t = normalize(target, "T")
+        source, bad_s = normalize(spread(source), "S")
+        target, bad_t = normalize(spread(target), "T")
         source, target = write_table(source, "source"), write_table(target, "target")
         rejects = bad_s.unionByName(bad_t)
     pairs = write_table(match(source, target, options, pipeline), "pairs")

@@ -32,8 +32,10 @@ def write_table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def is_empty_table(df: DataFrame) -> bool:
-    return not df.take(1)
+def spread(df: DataFrame) -> DataFrame:
+    """df itself, or, if it has fewer partitions than there are cores (a small table in one file), its rows dealt out to all of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
 
 
 def hot_keys(counts: DataFrame, n: str = "n", most: int = 1000) -> DataFrame:
