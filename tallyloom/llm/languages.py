@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.mail import text_bodies
-from tallyloom.plans.shared import write_table
+from tallyloom.plans.shared import spread, write_table
 
 LANGUAGES = ("de", "en", "es", "fr", "it", "nl")
 #: Other codes and names of these languages.
@@ -269,7 +269,7 @@ def document_languages(documents: DataFrame, id_col: str = "doc_id", text_col: s
 
     Two passes: one over a bounded sample to fit the models, one over all documents, which never move.
     """
-    docs = documents.select(F.col(id_col).alias("id"), F.col(label_col).alias("lang"), F.col(text_col).alias("text"))
+    docs = spread(documents.select(F.col(id_col).alias("id"), F.col(label_col).alias("lang"), F.col(text_col).alias("text")))
     held = documents.sparkSession.sparkContext.broadcast(fit_models(docs, sample_docs))
     id_type = docs.schema["id"].dataType.simpleString()
 

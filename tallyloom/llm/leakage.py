@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.mail import text_bodies
+from tallyloom.plans.shared import spread
 
 WORD = re.compile(r"[^\W_]+")
 #: Characters of item text that one pass over the documents carries to every executor.
@@ -154,6 +155,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, min_tile: int = 12, min
     n_blocks = -(-(sizes["s"] or 0) // BLOCK_CHARS)
     blocks = [known] if n_blocks <= 1 else [known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * n_blocks)) == b) for b in range(2 * n_blocks)]
     id_type = documents.schema[id_col].dataType.simpleString()
+    texts = spread(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null"))
     out = None
     for block in blocks:
         held = spark.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in block.select("item_id", "text").collect()], min_tile))
@@ -178,6 +180,6 @@ def leaked_items(documents: DataFrame, items: DataFrame, min_tile: int = 12, min
                 if rows:
                     yield pd.DataFrame(rows, columns=["id", "item_id", "longest", "covered", "tiles", "coverage"])
 
-        part = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").mapInPandas(scan, f"id {id_type}, {FOUND}")
+        part = texts.mapInPandas(scan, f"id {id_type}, {FOUND}")
         out = part if out is None else out.unionByName(part)
     return out.withColumnRenamed("id", id_col)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.plans.shared import write_table
+from tallyloom.plans.shared import spread, write_table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this public vocabulary cuts a text before merging.
@@ -105,7 +105,8 @@ def pack_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     only the packing patterns, whose number depends on the capacity, go back. Ranks within a length are counted in
     groups of bounded size, each with the number of items before it.
     """
-    sized = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), token_count(F.col(text_col), vocabulary).alias("n"))
+    texts = spread(documents.select(F.col(id_col).alias("_id"), text_col).where(F.col(text_col).isNotNull()))
+    sized = texts.select("_id", token_count(F.col(text_col), vocabulary).alias("n"))
     sized = write_table(sized, "token-counts")
     full = F.lit(capacity)
     pieces = sized.select("_id", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("n") - 1) / full).cast("int")))).alias("piece"))
