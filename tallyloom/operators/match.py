@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.enums import Discrepancy, ResultKind
@@ -24,6 +24,8 @@ from tallyloom.schemas import PAIR_COLUMNS
 KEY = ["ref", "currency"]
 #: Buckets with at most this many combinations are folded in the JVM; larger ones go to arrays of a task each.
 FOLD_MOST = 4096
+#: Rows that are numbered as one group.
+STRETCH = 100_000
 _PAIR = "s_ordinal bigint, t_ordinal bigint, s_amount decimal(18,2), t_amount decimal(18,2), s_date date, t_date date, strategy string, score decimal(5,4)"
 
 
@@ -157,18 +159,33 @@ def match(source: DataFrame, target: DataFrame, options: ReconOptions | None = N
     return pairs.select(*PAIR_COLUMNS)
 
 
+def numbered(rows: DataFrame, keys: list[str], stretch: int = STRETCH) -> DataFrame:
+    """rows with n, the place in order of ordinal among the rows alike in keys.
+
+    A group of at most stretch rows is numbered as one. If there are larger ones, rows are numbered within stretches of
+    ordinals, which are unique, so none holds more than stretch rows, and each stretch is told how many rows come
+    before it.
+    """
+    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > stretch)
+    if not large.take(1):
+        return rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("ordinal")))
+    cut = rows.withColumn("_part", F.floor(F.col("ordinal") / F.lit(stretch)))
+    counts = cut.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_m"))
+    before = counts.withColumn("_before", F.sum("_m").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_m")).drop("_m")
+    within = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("ordinal"))
+    placed = cut.withColumn("_at", within).alias("l").join(before.alias("r"), [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in (*keys, "_part")])
+    return placed.select("l.*", "_before").withColumn("n", (F.col("_before") + F.col("_at")).cast("int")).drop("_before", "_at", "_part")
+
+
 def match_exact(source: DataFrame, target: DataFrame, options: ReconOptions | None = None) -> DataFrame:
     """match with the exact strategy alone, in closed form: the n-th source of an amount and date takes its n-th target.
 
-    Rows alike in reference, currency, amount and date are numbered; a group of those is the largest unit of work.
+    Rows alike in reference, currency, amount and date are numbered, large groups of them in stretches of ordinals.
     """
-    from pyspark.sql import Window
-
     options = options or ReconOptions()
     same = [*KEY, "amount", "date"]
-    nth = F.row_number().over(Window.partitionBy(*same).orderBy("ordinal"))
-    s = _slim(source).withColumn("n", nth).withColumnRenamed("ordinal", "s_ordinal")
-    t = _slim(target).withColumn("n", nth).withColumnRenamed("ordinal", "t_ordinal")
+    s = numbered(_slim(source), same).withColumnRenamed("ordinal", "s_ordinal")
+    t = numbered(_slim(target), same).withColumnRenamed("ordinal", "t_ordinal")
     met = s.join(t, [*same, "n"])
     score = F.lit(str(options.exact_confidence)).cast("decimal(5,4)")
     return met.select(*KEY, "s_ordinal", "t_ordinal", F.col("amount").alias("s_amount"), F.col("amount").alias("t_amount"), F.col("date").alias("s_date"), F.col("date").alias("t_date"), F.lit(Exact().name).alias("strategy"), score.alias("score"))

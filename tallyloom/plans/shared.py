@@ -27,11 +27,21 @@ def shared_dir(spark: SparkSession) -> str:
 def write_table(df: DataFrame, label: str) -> DataFrame:
     """Writes df once and reads it back: lineage ends here, and a lost executor costs only a reread."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tallyloom/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tallyloom/{spark.sparkContext.applicationId}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Deletes the tables this application has written; frames that were made from them can't be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df itself, or, if it has fewer partitions than there are cores (a small table in one file), its rows dealt out to all of them."""
     cores = df.sparkSession.sparkContext.defaultParallelism

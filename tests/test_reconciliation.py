@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom import ledgers
 from tallyloom.operators.classify import classify, reason_counts
-from tallyloom.operators.match import match, match_exact, match_results, unmatched_sources, unmatched_targets
+from tallyloom.operators.match import match, match_exact, match_results, numbered, unmatched_sources, unmatched_targets
 from tallyloom.operators.normalize import normalize
 from tallyloom.operators.reconcile import reconcile, summary
 from tallyloom.options import ReconOptions, ToleranceRule
@@ -75,6 +75,12 @@ def test_exact_closed_form(spark, rows_of):
     assert rows_of(match_exact(s, t), "s_ordinal", "t_ordinal", "score") == rows_of(match(s, t, O, [Exact()]), "s_ordinal", "t_ordinal", "score")
 
 
+def test_numbering_in_stretches(spark, rows_of):
+    rng = random.Random(4)
+    rows = frame(spark, [(rng.choice(["A", "A", None]), "EUR", i * 3, 5, DAY) for i in rng.sample(range(500), 200)])
+    assert rows_of(numbered(rows, ["ref", "currency"], 20), "ordinal", "ref", "n") == rows_of(numbered(rows, ["ref", "currency"]), "ordinal", "ref", "n")
+
+
 @pytest.mark.parametrize(
     ("source", "targets", "want"),
     [(500, [500, 504], ("Exact", 0)), (500, [503], ("Fuzzy", 0)), (900, [300], ("Partial", 0)), (99999, [100000.5], ("Fuzzy", 0)), (99999, [100], None), (1000, [1004, 1001], ("Fuzzy", 1)), (900, [1000], None), (900, [0], None), (900, [400], None), (-900, [-300], ("Partial", 0))],
