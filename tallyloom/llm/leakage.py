@@ -20,6 +20,8 @@ WORD = re.compile(r"[^\W_]+")
 BLOCK_CHARS = 4_000_000
 #: Documents tokenised at a time within a task; a longer document stands alone.
 CHUNK_CHARS = 2_000_000
+#: Characters without width, which may stand inside a word.
+UNSEEN = dict.fromkeys((0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))
 FOUND = "item_id string, longest int, covered int, tiles int, coverage double"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -27,7 +29,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 def words_of(text: str) -> list[str]:
     """Runs of letters and digits, lower case; composed forms where both exist."""
     if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("­", "").replace("​", "")
+        text = unicodedata.normalize("NFC", text).translate(UNSEEN)
     return WORD.findall(text.lower())
 
 
