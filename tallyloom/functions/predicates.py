@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyloom.options import ReconOptions, ToleranceRule
 
-#: What a full tolerance of amount or date takes off the best fuzzy score.
-AMOUNT_PENALTY, DATE_PENALTY = "0.15", "0.10"
+#: Hundredths that a full tolerance of amount or date takes off the best fuzzy score.
+AMOUNT_PENALTY, DATE_PENALTY = 15, 10
 Divisibility = Callable[[Column, Column], Column]
 
 
@@ -62,16 +63,41 @@ def partial_split(source: Column, target: Column, divides: Divisibility = divide
     return F.coalesce((t != 0) & (t < s) & divides(s, t), F.lit(False))
 
 
+@dataclass(frozen=True)
+class FuzzyCost:
+    """A fuzzy score in whole numbers, so every way of computing it orders targets alike.
+
+    The score is fuzzy_max less cost / scale, and never below fuzzy_min. per_gap is the cost of a ten-thousandth of
+    amount, per_day that of a day; gaps beyond most_gap and days beyond most_days cost no more, as the score is at its
+    least by then.
+    """
+
+    per_gap: int
+    per_day: int
+    scale: int
+    limit: int
+    most_gap: int
+    most_days: int
+
+    @classmethod
+    def of(cls, options: ReconOptions) -> FuzzyCost:
+        absolute, window = int(options.tolerance.absolute * 10_000), options.tolerance.date_window_days
+        a, w = max(absolute, 1), max(window, 1)
+        scale = 100 * a * w
+        limit = int((options.fuzzy_max - options.fuzzy_min) * scale)
+        return cls(AMOUNT_PENALTY * w if absolute else 0, DATE_PENALTY * a if window else 0, scale, limit, 10 * a, 20 * w)
+
+
+def fuzzy_cost(s_amount: Column, t_amount: Column, s_date: Column, t_date: Column, options: ReconOptions) -> Column:
+    """bigint: what the differences of amount and date take off the score, at most the span of scores."""
+    c = FuzzyCost.of(options)
+    gap = F.least((F.abs(s_amount - t_amount).cast("decimal(20,4)") * 10_000).cast("decimal(28,0)"), F.lit(c.most_gap).cast("decimal(28,0)")).cast("bigint")
+    days = F.least(F.abs(F.datediff(s_date, t_date)).cast("bigint"), F.lit(c.most_days).cast("bigint"))
+    return F.least(gap * F.lit(c.per_gap).cast("bigint") + days * F.lit(c.per_day).cast("bigint"), F.lit(c.limit).cast("bigint"))
+
+
 def fuzzy_score(s_amount: Column, t_amount: Column, s_date: Column, t_date: Column, options: ReconOptions) -> Column:
-    """The unrounded score: best, less the used parts of both tolerances, never below the least nor above the best."""
-    rule = options.tolerance
-    best, least = _dec(options.fuzzy_max, "decimal(20,16)"), _dec(options.fuzzy_min, "decimal(20,16)")
-    score = best
-    if rule.absolute > 0:
-        used = F.abs(s_amount - t_amount) / _dec(rule.absolute, "decimal(18,2)")
-        # Beyond this the score lies at its least anyway; the cap keeps the decimal from overflowing.
-        score = score - F.least(used, _dec(100, "decimal(18,2)")).cast("decimal(22,16)") * _dec(AMOUNT_PENALTY, "decimal(4,2)")
-    if rule.date_window_days > 0:
-        days = F.abs(F.datediff(s_date, t_date)).cast("decimal(10,0)") / _dec(rule.date_window_days, "decimal(10,0)")
-        score = score - F.least(days, _dec(100, "decimal(18,2)")).cast("decimal(22,16)") * _dec(DATE_PENALTY, "decimal(4,2)")
-    return F.greatest(least, F.least(best, score.cast("decimal(20,16)")))
+    """decimal(20,16): best, less the used parts of both tolerances, never below the least nor above the best."""
+    c = FuzzyCost.of(options)
+    used = fuzzy_cost(s_amount, t_amount, s_date, t_date, options).cast("decimal(20,0)") / F.lit(c.scale).cast("decimal(18,0)")
+    return (_dec(options.fuzzy_max, "decimal(20,16)") - used.cast("decimal(20,16)")).cast("decimal(20,16)")

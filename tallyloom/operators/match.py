@@ -3,41 +3,56 @@
 Sources take turns in order of ordinal within their bucket (reference, currency). Each runs the whole cascade of strategies:
 the first strategy with an eligible target that nobody has claimed gives the pair, and within it the preferred target,
 the one with the smallest ordinal among equals. Buckets are independent.
+
+Rows are known by an id: txn_id where a side has it, else ordinal. Order is by ordinal, nulls last, then by id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.enums import Discrepancy, ResultKind
+from tallyloom.functions.predicates import divides_scaled
+from tallyloom.operators.match_cells import matched_in_cells
 from tallyloom.options import ReconOptions
 from tallyloom.plans.shared import write_table
 from tallyloom.plans.strategies import Exact, Fuzzy, MatchStrategy, Partial, default_pipeline
-from tallyloom.functions.predicates import divides_scaled
 from tallyloom.schemas import PAIR_COLUMNS
 
 KEY = ["ref", "currency"]
-#: Buckets with at most this many combinations are folded in the JVM; larger ones go to arrays of a task each.
+#: Buckets with at most this many combinations are folded whole; larger ones are cut into cells.
 FOLD_MOST = 4096
 #: Rows that are numbered as one group.
 STRETCH = 100_000
-_PAIR = "s_ordinal bigint, t_ordinal bigint, s_amount decimal(18,2), t_amount decimal(18,2), s_date date, t_date date, strategy string, score decimal(5,4)"
+_PAIR = "s_id {0}, t_id {1}, s_ordinal bigint, t_ordinal bigint, s_amount decimal(18,2), t_amount decimal(18,2), s_date date, t_date date, strategy string, score decimal(5,4)"
+_VALUES = ("last", "ordinal", "id", "amount", "date")
+
+
+def _slim(rows: DataFrame, id_col: str | None = None) -> DataFrame:
+    id_col = id_col or id_column(rows)
+    kept = rows.where(F.col("ref").isNotNull() & F.col("currency").isNotNull() & F.col(id_col).isNotNull())
+    return kept.select(*KEY, F.col("ordinal").isNull().alias("last"), F.col("ordinal").cast("bigint").alias("ordinal"), F.col(id_col).alias("id"), F.col("amount").cast("decimal(18,2)").alias("amount"), F.col("value_date").alias("date"))
+
+
+def id_column(rows: DataFrame) -> str:
+    return "txn_id" if "txn_id" in rows.columns else "ordinal"
+
 
+def _types(s: DataFrame, t: DataFrame) -> tuple[str, str]:
+    return s.schema["id"].dataType.simpleString(), t.schema["id"].dataType.simpleString()
 
-def _slim(rows: DataFrame) -> DataFrame:
-    return rows.where(F.col("ref").isNotNull() & F.col("currency").isNotNull() & F.col("ordinal").isNotNull()).select(*KEY, "ordinal", F.col("amount").cast("decimal(18,2)").alias("amount"), F.col("value_date").alias("date"))
+
+def _sizes(s: DataFrame, t: DataFrame) -> DataFrame:
+    one = F.count(F.lit(1))
+    return s.groupBy(*KEY).agg(one.alias("sources")).join(t.groupBy(*KEY).agg(one.alias("targets")), KEY)
 
 
 def bucket_sizes(source: DataFrame, target: DataFrame) -> DataFrame:
     """ref, currency, sources, targets of every bucket that has both."""
-    s = _slim(source).groupBy(*KEY).agg(F.count(F.lit(1)).alias("sources"))
-    t = _slim(target).groupBy(*KEY).agg(F.count(F.lit(1)).alias("targets"))
-    return s.join(t, KEY)
+    return _sizes(_slim(source), _slim(target))
 
 
 def _candidate(x: Column, y: Column, pipeline: Sequence[MatchStrategy], options: ReconOptions) -> Column:
@@ -45,134 +60,74 @@ def _candidate(x: Column, y: Column, pipeline: Sequence[MatchStrategy], options:
     rank = preference = score = name = None
     for i, s in enumerate(pipeline):
         ok = s.eligible(x, y, options)
-        values = (F.lit(i), -s.preference(x, y, options).cast("decimal(20,16)"), F.round(s.score(x, y, options), 4).cast("decimal(5,4)"), F.lit(s.name))
+        values = (F.lit(i), -s.preference(x, y, options).cast("double"), F.round(s.score(x, y, options), 4).cast("decimal(5,4)"), F.lit(s.name))
         rank, preference, score, name = (F.when(ok, v) if old is None else old.when(ok, v) for old, v in zip((rank, preference, score, name), values, strict=True))
-    return F.struct(rank.alias("rank"), preference.alias("preference"), y["ordinal"].alias("ordinal"), y["amount"].alias("amount"), y["date"].alias("date"), name.alias("strategy"), score.alias("score"))
-
-
-def _singles(s: DataFrame, t: DataFrame, pipeline: Sequence[MatchStrategy], options: ReconOptions) -> DataFrame:
-    """Buckets of one source: nobody contends, so the pair is a minimum."""
-    x = s.select(*KEY, F.struct("ordinal", "amount", "date").alias("x"))
-    y = t.select(*KEY, F.struct("ordinal", "amount", "date").alias("y"))
-    met = x.join(y, KEY).withColumn("c", _candidate(F.col("x"), F.col("y"), pipeline, options)).where("c.rank is not null")
-    best = met.groupBy(*KEY).agg(F.min("c").alias("c"), F.first("x").alias("x"))
-    return best.select(*KEY, *_pair_fields(F.col("x"), F.col("c")))
+    return F.struct(rank.alias("rank"), preference.alias("preference"), *[y[v].alias(v) for v in _VALUES], name.alias("strategy"), score.alias("score"))
 
 
 def _pair_fields(x: Column, c: Column) -> list[Column]:
-    return [x["ordinal"].alias("s_ordinal"), c["ordinal"].alias("t_ordinal"), x["amount"].alias("s_amount"), c["amount"].alias("t_amount"), x["date"].alias("s_date"), c["date"].alias("t_date"), c["strategy"].alias("strategy"), c["score"].alias("score")]
+    both = [e[v].alias(f"{side}_{v}") for v in ("id", "ordinal", "amount", "date") for side, e in (("s", x), ("t", c))]
+    return [*both, c["strategy"].alias("strategy"), c["score"].alias("score")]
 
 
 def _folded(s: DataFrame, t: DataFrame, pipeline: Sequence[MatchStrategy], options: ReconOptions) -> DataFrame:
     """Buckets of bounded size: a fold over the sources in order, carrying who is claimed."""
-    xs = s.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("ordinal", "amount", "date"))).alias("xs"))
-    ys = t.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("ordinal", "amount", "date"))).alias("ys"))
-    start = F.struct(F.array().cast("array<bigint>").alias("claimed"), F.array().cast(f"array<struct<{_PAIR.replace(', ', ',').replace(' ', ':')}>>").alias("pairs"))
+    id_type = t.schema["id"].dataType.simpleString()
+    pair = _PAIR.format(*_types(s, t)).replace(", ", ",").replace(" ", ":")
+    xs = s.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(*_VALUES))).alias("xs"))
+    ys = t.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(*_VALUES))).alias("ys"))
+    start = F.struct(F.array().cast(f"array<{id_type}>").alias("claimed"), F.array().cast(f"array<struct<{pair}>>").alias("pairs"))
 
     def turn(acc: Column, x: Column) -> Column:
-        free = F.filter(F.transform("ys", lambda y: _candidate(x, y, pipeline, options)), lambda c: c["rank"].isNotNull() & ~F.array_contains(acc["claimed"], c["ordinal"]))
+        free = F.filter(F.transform("ys", lambda y: _candidate(x, y, pipeline, options)), lambda c: c["rank"].isNotNull() & ~F.array_contains(acc["claimed"], c["id"]))
         best = F.array_min(free)
-        grown = F.struct(F.array_append(acc["claimed"], best["ordinal"]).alias("claimed"), F.array_append(acc["pairs"], F.struct(*_pair_fields(x, best))).alias("pairs"))
+        grown = F.struct(F.array_append(acc["claimed"], best["id"]).alias("claimed"), F.array_append(acc["pairs"], F.struct(*_pair_fields(x, best))).alias("pairs"))
         return F.when(F.size(free) == 0, acc).otherwise(grown)
 
     done = xs.join(ys, KEY).select(*KEY, F.aggregate("xs", start, turn)["pairs"].alias("pairs"))
     return done.select(*KEY, F.inline("pairs"))
 
 
-def _in_arrays(a: pd.DataFrame, b: pd.DataFrame, pipeline: Sequence[MatchStrategy], options: ReconOptions) -> pd.DataFrame:
-    """The same turns over arrays, for one large bucket: memory for its rows, not for their combinations."""
-    a, b = a.sort_values("ordinal"), b.sort_values("ordinal")
-    cents = lambda v: np.array([int(x * 100) if x is not None else 0 for x in v], "int64")
-    days = lambda v: pd.to_datetime(v).to_numpy().astype("datetime64[D]").astype("int64")
-    sa, ta, sd, td = cents(a["amount"]), cents(b["amount"]), days(a["date"]), days(b["date"])
-    t_ok = b["amount"].notna().to_numpy() & b["date"].notna().to_numpy()
-    s_ok = a["amount"].notna().to_numpy() & a["date"].notna().to_numpy()
-    rule, free, rows = options.tolerance, np.ones(len(b), bool), []
-    best, least = float(options.fuzzy_max), float(options.fuzzy_min)
-    exact: dict[tuple[int, int], list[int]] = {}
-    for j in range(len(b) - 1, -1, -1):
-        exact.setdefault((ta[j], td[j]), []).append(j)
-    for i in range(len(a)):
-        for s in pipeline:
-            hit = score = None
-            if isinstance(s, Exact) and s_ok[i]:
-                stack = exact.get((sa[i], sd[i]), [])
-                while stack and not (free[stack[-1]] and t_ok[stack[-1]]):
-                    stack.pop()
-                hit, score = (stack[-1] if stack else None), float(options.exact_confidence)
-            elif isinstance(s, Fuzzy) and s_ok[i]:
-                gap, days_off = np.abs(ta - sa[i]), np.abs(td - sd[i])
-                ok = free & t_ok & (days_off <= rule.date_window_days) & ((gap <= float(rule.absolute) * 100) | ((sa[i] != 0) & (gap * 100 <= float(rule.percentage) * abs(sa[i]))))
-                at = np.flatnonzero(ok)
-                if len(at):
-                    value = np.full(len(at), best)
-                    if rule.absolute > 0:
-                        value -= gap[at] / (float(rule.absolute) * 100) * 0.15
-                    if rule.date_window_days > 0:
-                        value -= days_off[at] / rule.date_window_days * 0.10
-                    value = np.round(np.clip(value, least, best), 12)
-                    k = int(value.argmax())
-                    hit, score = int(at[k]), float(value[k])
-            elif isinstance(s, Partial) and a["amount"].iloc[i] is not None:
-                part = np.abs(ta)
-                ok = free & b["amount"].notna().to_numpy() & (part != 0) & (part < abs(sa[i]))
-                at = np.flatnonzero(ok & (abs(sa[i]) % np.where(part == 0, 1, part) == 0))
-                hit, score = (int(at[0]) if len(at) else None), float(options.partial_min)
-            if hit is not None:
-                free[hit] = False
-                rows.append((int(a["ordinal"].iloc[i]), int(b["ordinal"].iloc[hit]), a["amount"].iloc[i], b["amount"].iloc[hit], a["date"].iloc[i], b["date"].iloc[hit], s.name, score))
-                break
-    out = pd.DataFrame(rows, columns=["s_ordinal", "t_ordinal", "s_amount", "t_amount", "s_date", "t_date", "strategy", "score"])
-    out.insert(0, "currency", a["currency"].iloc[0])
-    out.insert(0, "ref", a["ref"].iloc[0])
-    return out
-
-
-def match(source: DataFrame, target: DataFrame, options: ReconOptions | None = None, pipeline: Sequence[MatchStrategy] | None = None, fold_most: int = FOLD_MOST) -> DataFrame:
-    """The matched pairs: ref, currency, ordinals, amounts and dates of both sides, strategy, score (decimal(5,4)).
-
-    source and target need ref, currency, ordinal (unique on its side), amount, value_date. Each target is in one pair
-    at most. Rows with a null reference, currency or ordinal, or a null amount or date where a strategy asks for
-    it, match nothing. An empty pipeline and empty tables give no pairs.
-
-    Buckets of one source need no turns and are a join with a minimum. Others up to fold_most combinations are folded in
-    the JVM. In a larger bucket every claim depends on all earlier ones, so its rows go through arrays of one task; a
-    pipeline with strategies of one's own, which are column functions, folds all buckets.
+def match(source: DataFrame, target: DataFrame, options: ReconOptions | None = None, pipeline: Sequence[MatchStrategy] | None = None, fold_most: int = FOLD_MOST, id_col: str | None = None) -> DataFrame:
+    """The matched pairs: ref, currency, ids, ordinals, amounts and dates of both sides, strategy, score (decimal(5,4)).
+
+    source and target need ref, currency, ordinal, amount, value_date and an id that is unique on its side: id_col, by
+    default txn_id where a side has it and else ordinal. Each target is in one pair at most. Rows with a null reference, currency or id, or a null amount or
+    date where a strategy asks for it, match nothing. An empty pipeline and empty tables give no pairs.
+
+    Buckets of up to fold_most combinations are folded in the JVM. Larger ones are cut into cells of amount and date,
+    which are settled in rounds (match_cells), so no task holds a bucket. A pipeline with strategies of one's own,
+    which are column functions that may join any two rows of a bucket, folds all buckets whole.
     """
     options, pipeline = options or ReconOptions(), default_pipeline() if pipeline is None else list(pipeline)
-    s, t = _slim(source), _slim(target)
+    s, t = _slim(source, id_col), _slim(target, id_col)
     if not pipeline:
-        return s.sparkSession.createDataFrame([], f"ref string, currency string, {_PAIR}")
+        return s.sparkSession.createDataFrame([], f"ref string, currency string, {_PAIR.format(*_types(s, t))}").select(*PAIR_COLUMNS)
     own = any(not isinstance(x, Exact | Fuzzy | Partial) or (isinstance(x, Partial) and x.divides not in (Partial().divides, divides_scaled)) for x in pipeline)
-    sizes = write_table(bucket_sizes(source, target), "bucket-sizes")
-    kinds = F.when(F.col("sources") == 1, 1).when((F.col("sources") * F.col("targets") <= fold_most) | F.lit(own), 2).otherwise(3)
-    kept = sizes.select(*KEY, kinds.alias("kind"))
-    s, t = s.join(kept, KEY), t.join(kept, KEY)
-    of = lambda df, kind: df.where(F.col("kind") == kind).drop("kind")
-    pairs = _singles(of(s, 1), of(t, 1), pipeline, options)
-    found = {r["kind"] for r in kept.select("kind").distinct().collect()}
-    if 2 in found:
-        pairs = pairs.unionByName(_folded(of(s, 2), of(t, 2), pipeline, options))
-    if 3 in found:
-        large = of(s, 3).groupBy(*KEY).cogroup(of(t, 3).groupBy(*KEY)).applyInPandas(lambda a, b: _in_arrays(a, b, pipeline, options), "ref string, currency string, " + _PAIR.replace("score decimal(5,4)", "score double"))
-        pairs = pairs.unionByName(large.withColumn("score", F.round(F.col("score").cast("decimal(20,12)"), 4).cast("decimal(5,4)")))
-    return pairs.select(*PAIR_COLUMNS)
+    if own:
+        return _folded(s, t, pipeline, options).select(*PAIR_COLUMNS)
+    hot = write_table(_sizes(s, t).where(F.col("sources") * F.col("targets") > fold_most).select(*KEY), "hot-buckets")
+    if not hot.take(1):
+        return _folded(s, t, pipeline, options).select(*PAIR_COLUMNS)
+    pairs = _folded(s.join(hot, KEY, "left_anti"), t.join(hot, KEY, "left_anti"), pipeline, options)
+    large = matched_in_cells(s.join(hot, KEY, "left_semi"), t.join(hot, KEY, "left_semi"), pipeline, options)
+    return pairs.select(*PAIR_COLUMNS).unionByName(large.select(*PAIR_COLUMNS))
 
 
 def numbered(rows: DataFrame, keys: list[str], stretch: int = STRETCH) -> DataFrame:
-    """rows with n, the place in order of ordinal among the rows alike in keys.
+    """rows (with ordinal and, if it isn't unique, id) with n, the place in their order among the rows alike in keys.
 
     A group of at most stretch rows is numbered as one. If there are larger ones, rows are numbered within stretches of
-    ordinals, which are unique, so none holds more than stretch rows, and each stretch is told how many rows come
-    before it.
+    ordinals, each of which is told how many rows come before it.
     """
+    order = [F.col("ordinal").asc_nulls_last(), *(["id"] if "id" in rows.columns else [])]
     large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > stretch)
     if not large.take(1):
-        return rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("ordinal")))
+        return rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     cut = rows.withColumn("_part", F.floor(F.col("ordinal") / F.lit(stretch)))
     counts = cut.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_m"))
-    before = counts.withColumn("_before", F.sum("_m").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_m")).drop("_m")
-    within = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("ordinal"))
+    before = counts.withColumn("_before", F.sum("_m").over(Window.partitionBy(*keys).orderBy(F.col("_part").asc_nulls_last())) - F.col("_m")).drop("_m")
+    within = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
     placed = cut.withColumn("_at", within).alias("l").join(before.alias("r"), [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in (*keys, "_part")])
     return placed.select("l.*", "_before").withColumn("n", (F.col("_before") + F.col("_at")).cast("int")).drop("_before", "_at", "_part")
 
@@ -184,26 +139,30 @@ def match_exact(source: DataFrame, target: DataFrame, options: ReconOptions | No
     """
     options = options or ReconOptions()
     same = [*KEY, "amount", "date"]
-    s = numbered(_slim(source), same).withColumnRenamed("ordinal", "s_ordinal")
-    t = numbered(_slim(target), same).withColumnRenamed("ordinal", "t_ordinal")
-    met = s.join(t, [*same, "n"])
+    side = lambda rows, mark: numbered(_slim(rows), same).drop("last").withColumnsRenamed({"ordinal": f"{mark}_ordinal", "id": f"{mark}_id"})
+    met = side(source, "s").join(side(target, "t"), [*same, "n"])
     score = F.lit(str(options.exact_confidence)).cast("decimal(5,4)")
-    return met.select(*KEY, "s_ordinal", "t_ordinal", F.col("amount").alias("s_amount"), F.col("amount").alias("t_amount"), F.col("date").alias("s_date"), F.col("date").alias("t_date"), F.lit(Exact().name).alias("strategy"), score.alias("score"))
+    made = {"s_amount": F.col("amount"), "t_amount": F.col("amount"), "s_date": F.col("date"), "t_date": F.col("date"), "strategy": F.lit(Exact().name), "score": score}
+    return met.withColumns(made).select(*PAIR_COLUMNS)
+
+
+def _left_over(rows: DataFrame, pairs: DataFrame, side: str, id_col: str | None) -> DataFrame:
+    id_col = id_col or id_column(rows)
+    return rows.join(pairs.select(F.col(f"{side}_id").alias(id_col)), id_col, "left_anti").select(*rows.columns)
 
 
-def unmatched_sources(source: DataFrame, pairs: DataFrame) -> DataFrame:
+def unmatched_sources(source: DataFrame, pairs: DataFrame, id_col: str | None = None) -> DataFrame:
     """Sources in no pair, with reason MissingInTarget; the classifier decides anew."""
-    left = source.join(pairs.select(F.col("s_ordinal").alias("ordinal")), "ordinal", "left_anti")
-    return left.withColumn("reason", F.lit(Discrepancy.MISSING_IN_TARGET.value))
+    return _left_over(source, pairs, "s", id_col).withColumn("reason", F.lit(Discrepancy.MISSING_IN_TARGET.value))
 
 
-def unmatched_targets(target: DataFrame, pairs: DataFrame) -> DataFrame:
+def unmatched_targets(target: DataFrame, pairs: DataFrame, id_col: str | None = None) -> DataFrame:
     """Targets that nobody claimed."""
-    return target.join(pairs.select(F.col("t_ordinal").alias("ordinal")), "ordinal", "left_anti")
+    return _left_over(target, pairs, "t", id_col)
 
 
-def match_results(source: DataFrame, pairs: DataFrame) -> DataFrame:
+def match_results(source: DataFrame, pairs: DataFrame, id_col: str | None = None) -> DataFrame:
     """One row per source: kind Matched with its target, strategy and score, or Unmatched with a reason."""
-    met = source.select("ordinal", "ref", "currency").join(pairs.select(F.col("s_ordinal").alias("ordinal"), "t_ordinal", "strategy", "score"), "ordinal", "left")
-    hit = F.col("t_ordinal").isNotNull()
+    met = source.select(F.col(id_col or id_column(source)).alias("s_id"), "ordinal", "ref", "currency").join(pairs.select("s_id", "t_id", "t_ordinal", "strategy", "score"), "s_id", "left")
+    hit = F.col("t_id").isNotNull()
     return met.withColumn("kind", F.when(hit, ResultKind.MATCHED.value).otherwise(ResultKind.UNMATCHED.value)).withColumn("reason", F.when(~hit, Discrepancy.MISSING_IN_TARGET.value))

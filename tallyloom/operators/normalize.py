@@ -21,7 +21,7 @@ def with_result(raw: DataFrame, side: str) -> DataFrame:
 
     Checked in this order: reference, amount, currency and value date blank; amount; value date; reference empty once
     stripped; currency not of three characters; amount beyond the type. A booking date that can't be read is null. The
-    ordinal, which decides who claims first, is the row number; callers that join several files give their own.
+    ordinal is the row number and orders the rows of one file; reconcile numbers those of several files anew.
     """
     ref, code = S.normalize_reference(F.col("reference")), S.currency_code(F.col("currency"))
     amount = S.normalize_amount(F.col("amount"))

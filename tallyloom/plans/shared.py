@@ -6,11 +6,16 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A table with less than so many bytes a core is dealt out.
+SMALL_PART = 64 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one only where Spark runs in a single local JVM."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -43,15 +48,18 @@ def drop_tables(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df itself, or, if it has fewer partitions than there are cores (a small table in one file), its rows dealt out to all of them."""
+    """df itself, or, if all it reads are fewer files than there are cores (a small table), its rows dealt out to all of them."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+    plan = df._jdf.queryExecution().optimizedPlan()
+    files = len(df.inputFiles())
+    return df.repartition(cores) if 0 < files < cores and int(plan.stats().sizeInBytes().toString()) < cores * SMALL_PART else df
 
 
-def hot_keys(counts: DataFrame, n: str = "n", most: int = 1000) -> DataFrame:
-    """The rows of counts (one per key, exact) whose key holds at least a `most`-th of all rows: never more than `most` of them."""
-    total = counts.agg(F.sum(n).alias("s")).first()["s"] or 0
-    return counts.where(F.col(n) >= max(2.0, total / most))
+def hot_keys(counts: DataFrame, n: str = "n", most: int = 1000) -> DataFrame | None:
+    """The rows of counts (one per key, exact) whose key holds at least a `most`-th of all rows: never more than `most` of them, None for none."""
+    all_rows, largest = counts.agg(F.sum(n), F.max(n)).first()
+    least = max(2.0, (all_rows or 0) / most)
+    return counts.where(F.col(n) >= least) if (largest or 0) >= least else None
 
 
 def lookup(rows: DataFrame, dictionary: DataFrame, keys: list[str], values: list[str], spread: Column, n: str = "n", most: int = 1000) -> DataFrame:
@@ -60,18 +68,20 @@ def lookup(rows: DataFrame, dictionary: DataFrame, keys: list[str], values: list
     dictionary has one row per key with its number of rows in n and should be a written table. Keys that hold a
     `most`-th of all rows or more (at most `most` of them, so their broadcast is bounded if key length is) are
     looked up without a shuffle; the rows so served pass the following shuffled join under a salt made of
-    spread, an expression that differs between rows, instead of under their key.
+    spread, an expression that differs between rows, instead of under their key. Without such keys it is one join.
     """
-    hot = hot_keys(dictionary, n, most).select(*[F.col(k).alias(f"_h_{k}") for k in keys], *[F.col(v).alias(f"_hv_{v}") for v in values], F.lit(True).alias("_hot"))
+    hot_rows = hot_keys(dictionary, n, most)
     cold = dictionary.select(*[F.col(k).alias(f"_c_{k}") for k in keys], *[F.col(v).alias(f"_cv_{v}") for v in values])
-    on_hot = F.lit(True)
-    for k in keys:
-        on_hot = on_hot & (F.col(k) == F.col(f"_h_{k}"))
-    met = rows.join(F.broadcast(hot), on_hot, "left")
     salt = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(spread), F.lit(1_000_003)).cast("string"))
-    met = met.withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.coalesce(F.col(keys[-1]), salt)))
-    on_cold = F.col("_salt") == F.col(f"_c_{keys[-1]}")
-    for k in keys[:-1]:
-        on_cold = on_cold & (F.col(k) == F.col(f"_c_{k}"))
+    if hot_rows is None:
+        # A null key, however many rows have it, has no entry and passes under a salt too.
+        met = rows.withColumn("_salt", F.coalesce(F.col(keys[-1]), salt))
+        value = lambda v: F.col(f"_cv_{v}")
+    else:
+        hot = hot_rows.select(*[F.col(k).alias(f"_h_{k}") for k in keys], *[F.col(v).alias(f"_hv_{v}") for v in values], F.lit(True).alias("_hot"))
+        on_hot = reduce(Column.__and__, [F.col(k) == F.col(f"_h_{k}") for k in keys])
+        met = rows.join(F.broadcast(hot), on_hot, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.coalesce(F.col(keys[-1]), salt)))
+        value = lambda v: F.when(F.col("_hot"), F.col(f"_hv_{v}")).otherwise(F.col(f"_cv_{v}"))
+    on_cold = reduce(Column.__and__, [F.col(k) == F.col(f"_c_{k}") for k in keys[:-1]], F.col("_salt") == F.col(f"_c_{keys[-1]}"))
     both = met.join(cold, on_cold, "left")
-    return both.select(*[rows[c] for c in rows.columns], *[F.when(F.col("_hot"), F.col(f"_hv_{v}")).otherwise(F.col(f"_cv_{v}")).alias(v) for v in values])
+    return both.select(*[rows[c] for c in rows.columns], *[value(v).alias(v) for v in values])

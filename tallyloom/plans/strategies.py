@@ -10,17 +10,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyloom.enums import Strategy
-from tallyloom.functions.predicates import DIVISIBILITY, Divisibility, amount_within, date_within, divides_decimal, fuzzy_score, partial_split, same_payment
+from tallyloom.functions.predicates import DIVISIBILITY, Divisibility, amount_within, date_within, divides_decimal, fuzzy_cost, fuzzy_score, partial_split, same_payment
 from tallyloom.options import ReconOptions
 
-PREFERENCE = "decimal(20,16)"
-
 
 class MatchStrategy(Protocol):
     """A strategy as column functions of a source x and a target y, structs with amount, date and ordinal.
 
-    eligible says whether y will do; preference orders eligible targets, the greatest first and the first in order of
-    ordinals among equal ones; score is what the pair gets.
+    eligible says whether y will do; preference, a number, orders eligible targets, the greatest first and the first in
+    order of ordinals among equal ones; score is what the pair gets.
     """
 
     name: str
@@ -33,7 +31,7 @@ class MatchStrategy(Protocol):
 
 
 def _flat(value) -> Column:
-    return F.lit(str(value)).cast(PREFERENCE)
+    return F.lit(str(value)).cast("decimal(20,16)")
 
 
 @dataclass(frozen=True)
@@ -46,7 +44,7 @@ class Exact:
         return same_payment(x["amount"], y["amount"], x["date"], y["date"])
 
     def preference(self, x: Column, y: Column, options: ReconOptions) -> Column:
-        return _flat(0)
+        return F.lit(0)
 
     def score(self, x: Column, y: Column, options: ReconOptions) -> Column:
         return _flat(options.exact_confidence)
@@ -54,7 +52,7 @@ class Exact:
 
 @dataclass(frozen=True)
 class Fuzzy:
-    """Amount and date within tolerance; the best unrounded score first."""
+    """Amount and date within tolerance; the best unrounded score first, compared in whole numbers."""
 
     name: str = Strategy.FUZZY.value
 
@@ -62,10 +60,10 @@ class Fuzzy:
         return amount_within(x["amount"], y["amount"], options.tolerance) & date_within(x["date"], y["date"], options.tolerance)
 
     def preference(self, x: Column, y: Column, options: ReconOptions) -> Column:
-        return fuzzy_score(x["amount"], y["amount"], x["date"], y["date"], options)
+        return -fuzzy_cost(x["amount"], y["amount"], x["date"], y["date"], options)
 
     def score(self, x: Column, y: Column, options: ReconOptions) -> Column:
-        return self.preference(x, y, options)
+        return fuzzy_score(x["amount"], y["amount"], x["date"], y["date"], options)
 
 
 @dataclass(frozen=True)
@@ -79,7 +77,7 @@ class Partial:
         return partial_split(x["amount"], y["amount"], self.divides)
 
     def preference(self, x: Column, y: Column, options: ReconOptions) -> Column:
-        return _flat(0)
+        return F.lit(0)
 
     def score(self, x: Column, y: Column, options: ReconOptions) -> Column:
         return _flat(options.partial_min)

@@ -28,4 +28,4 @@ TXN = T.StructType(
         T.StructField("source_row_number", T.IntegerType()),
     ]
 )
-PAIR_COLUMNS = ["ref", "currency", "s_ordinal", "t_ordinal", "s_amount", "t_amount", "s_date", "t_date", "strategy", "score"]
+PAIR_COLUMNS = ["ref", "currency", "s_id", "t_id", "s_ordinal", "t_ordinal", "s_amount", "t_amount", "s_date", "t_date", "strategy", "score"]

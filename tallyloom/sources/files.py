@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.enums import FileFormat
+from tallyloom.plans.shared import write_table
 from tallyloom.schemas import RAW
 
 CORRUPT = "_corrupt"
@@ -31,7 +33,8 @@ def read_raw(spark: SparkSession, path: str | list[str], fmt: FileFormat | str,
     """(raw rows, records that couldn't be read) of files; the schema is fixed and nothing is inferred.
 
     CSV has a header and its columns are those of raw rows in any order; JSON has an object a line. A source_file that
-    isn't given is the file's name. MT940 statements are read whole, a file a record, so max_file_bytes should be
+    isn't given is the file's name; where a row_number isn't given, the rows of each file are numbered as they stand in
+    it, unreadable ones included. MT940 statements are read whole, a file a record, so max_file_bytes should be
     given for them: each :61: line is a row, with the :86: text behind it as its description. An unknown format is an
     error, as is a file over max_file_bytes. A missing column is null; other columns don't matter.
     """
@@ -45,12 +48,28 @@ def read_raw(spark: SparkSession, path: str | list[str], fmt: FileFormat | str,
     else:
         return _mt940(_guarded(spark.read.text(path, wholetext=True), max_file_bytes))
     named = F.coalesce(F.col("source_file"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
-    df = _guarded(df, max_file_bytes).withColumn("source_file", named)
+    df = _positioned(_guarded(df, max_file_bytes).withColumns({"source_file": named, "_path": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()}))
     good = df.where(F.col(CORRUPT).isNull()).select(*RAW.fieldNames())
     bad = df.where(F.col(CORRUPT).isNotNull()).select("source_file", F.col(CORRUPT).alias("record"))
     return good, bad
 
 
+def _positioned(df: DataFrame) -> DataFrame:
+    """Rows with row_number filled in from _path, _block and _at, their place within the scan.
+
+    The places within a part of a file follow one another, so a row's number is its place in its part and the rows of
+    the parts before: counts of parts are summed and no file is sorted.
+    """
+    if df.where("row_number is null").take(1):
+        df = write_table(df, "raw-rows")
+        parts = df.groupBy("_path", "_block", F.shiftright("_at", 33).alias("_p")).agg(F.min("_at").alias("_low"), F.count(F.lit(1)).alias("_n"))
+        before = F.sum("_n").over(Window.partitionBy("_path").orderBy("_block", "_low")) - F.col("_n")
+        parts = parts.select(F.col("_path").alias("_q"), F.col("_low"), F.shiftright("_low", 33).alias("_p"), F.col("_block").alias("_b"), before.alias("_before"))
+        on = (F.col("_path") == F.col("_q")) & (F.col("_block") == F.col("_b")) & (F.shiftright("_at", 33) == F.col("_p"))
+        df = df.join(parts, on).withColumn("row_number", F.coalesce("row_number", (F.col("_before") + F.col("_at") - F.col("_low") + 1).cast("int")))
+    return df.drop("_path", "_block", "_at")
+
+
 #: Value date, optional entry date, debit or credit, optional third letter of the currency, amount, type, reference.
 _LINE = r"^(\d{6})(\d{4})?(R?[CD])([A-Z])?(\d+,\d{0,2})[A-Z][A-Z0-9]{3}([^\n/]*)"
 
@@ -77,3 +96,22 @@ def _mt940(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 def results(df: DataFrame) -> Iterator[Row]:
     """Rows one by one, a partition at a time; their order means nothing."""
     return df.toLocalIterator(prefetchPartitions=True)
+
+
+def batches(df: DataFrame, most: int) -> Iterator[list[Row]]:
+    """results in lists of at most `most` rows."""
+    if most < 1:
+        raise ValueError("a batch has at least one row")
+    rows = results(df)
+    while batch := list(islice(rows, most)):
+        yield batch
+
+
+def page(df: DataFrame, order: list[str], number: int, size: int = 100) -> DataFrame:
+    """The number-th page (from 1) of size rows in the order of the columns given, which should tell all rows apart.
+
+    Spark finds it as a top-k of number * size rows, so it is meant for the first pages of a report.
+    """
+    if number < 1 or size < 1:
+        raise ValueError("pages and their sizes begin at 1")
+    return df.orderBy(*order).offset((number - 1) * size).limit(size)

@@ -8,12 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tallyloom.operators.match import KEY, _in_arrays
+from tallyloom.operators.match import KEY
 from tallyloom.operators.normalize import normalize
+from tallyloom.operators.turns import Pool, cents_of, days_of, score_of, take_turns
 from tallyloom.options import ReconOptions
 from tallyloom.plans.strategies import MatchStrategy, default_pipeline
 
-_OUT = "ref string, currency string, s_ordinal bigint, t_ordinal bigint, s_amount decimal(18,2), t_amount decimal(18,2), s_date date, t_date date, strategy string, score double"
+_OUT = "ref string, currency string, s_ordinal bigint, t_ordinal bigint, s_amount decimal(18,2), t_amount decimal(18,2), s_date date, t_date date, strategy string, score decimal(5,4)"
 _STATE = "ordinals array<bigint>, amounts array<decimal(18,2)>, dates array<date>"
 
 
@@ -42,10 +43,17 @@ def match_stream(transactions: DataFrame, options: ReconOptions | None = None, p
         targets = pd.concat([waiting, rows.loc[rows["side"] == "T", ["ordinal", "amount", "value_date"]]]).rename(columns={"value_date": "date"})
         sources = rows.loc[rows["side"] == "S"].rename(columns={"value_date": "date"})
         if len(sources) and len(targets):
-            pairs = _in_arrays(sources, targets, pipeline, options)
-            targets = targets[~targets["ordinal"].isin(pairs["t_ordinal"])]
-            if len(pairs):
-                yield pairs
+            targets = targets.reset_index(drop=True)
+            ordinals = targets["ordinal"].to_numpy("int64")
+            pool = Pool(ordinals, ordinals, cents_of(targets["amount"]), days_of(targets["date"]))
+            asking = list(zip(range(len(sources)), [None] * len(sources), *[sources["ordinal"].tolist()] * 2, cents_of(sources["amount"]), days_of(sources["date"]).tolist(), strict=True))
+            found = take_turns(asking, {None: pool}, pipeline, options)
+            at = [pool.rows[k] for _, _, k, _, _ in found]
+            if found:
+                x, y = sources.iloc[[n for n, *_ in found]], targets.iloc[at]
+                pairs = pd.DataFrame({f"{side}_{to}": e[c].to_numpy() for side, e in (("s", x), ("t", y)) for c, to in (("ordinal", "ordinal"), ("amount", "amount"), ("date", "date"))})
+                yield pairs.assign(ref=key[0], currency=key[1], strategy=[name for *_, name, _ in found], score=[score_of(name, cost, options) for *_, name, cost in found])
+                targets = targets.drop(index=at)
         if len(targets):
             state.update((targets["ordinal"].astype("int64").tolist(), targets["amount"].tolist(), targets["date"].tolist()))
             if wait_ms:
