@@ -19,6 +19,11 @@ def wide_trim(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 
 
+def short_key(text: Column, longest: int = 64) -> Column:
+    """A key of bounded length for the trimmed text: itself, or its hash if it has more than longest characters."""
+    return let(wide_trim(text), lambda t: F.when(F.length(t) <= longest, t).otherwise(F.concat(F.lit("\u0001"), F.sha2(t, 256))))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is computed once, however often body uses it."""
     return F.transform(F.array(value), body)[0]

@@ -15,8 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Longer texts are no date; this also bounds the keys of every dictionary of date texts.
-LONGEST = 64
+from tallyloom.functions.amounts import WHITE_SPACE
+
 #: A table of zone labels is read into the plan up to this many rows.
 MOST_LABELS = 5000
 #: Offsets from UTC reach this many minutes at most.
@@ -71,51 +71,58 @@ def _offset(zone: str, labels: dict[str, int]) -> int | None:
 
 def read_instant(text: str | None, date_order: str | None, tz_name: str | None, labels: dict[str, int]) -> date | datetime | None:
     """The single date, or instant in UTC, that a text names; None if it names none or more than one."""
-    if text is None or len(text) > LONGEST:
-        return None
-    text = text.strip()
+    return read_moment(text, date_order, tz_name, labels)[0]
+
+
+def read_moment(text: str | None, date_order: str | None, tz_name: str | None, labels: dict[str, int]) -> tuple[date | datetime | None, bool]:
+    """(what read_instant gives, whether the text names a real day, with a real time if one is given, in some zone)."""
+    nothing = None, False
+    if text is None:
+        return nothing
+    text = text.strip(WHITE_SPACE)
     try:
         if EPOCH.fullmatch(text):
             n = int(text)
-            return datetime.fromtimestamp(0, UTC) + (timedelta(seconds=n) if len(text) == 10 else timedelta(milliseconds=n))
+            return datetime.fromtimestamp(0, UTC) + (timedelta(seconds=n) if len(text) == 10 else timedelta(milliseconds=n)), True
         m = next((m for f in FORMS if (m := f.match(text))), None)
         if not m:
-            return None
+            return nothing
         g = m.groupdict()
         if "a" in g:
             if date_order not in ("DMY", "MDY"):
-                return None
+                return nothing
             d, mo = (g["a"], g["b"]) if date_order == "DMY" else (g["b"], g["a"])
             day = date(int(g["y"]) + 2000 * (len(g["y"]) == 2), int(mo), int(d))
         else:
             mo = MONTH_OF.get(g["name"].lower(), 0) if "name" in g else int(g["m"])
             day = date(int(g["y"]), mo, int(g["d"]))
         if g.get("week") and DAYS[day.weekday()] != g["week"].lower():
-            return None
+            return nothing
         if not g.get("hour"):
-            return day
+            return day, True
         hour, minute, second = int(g["hour"]), int(g["minute"]), int(g["second"] or 0)
         if half := g.get("half"):
             if not 1 <= hour <= 12:
-                return None
+                return nothing
             hour = hour % 12 + 12 * (half.lower() == "pm")
         local = datetime(day.year, day.month, day.day, hour, minute, second, int((g["fraction"] or "0").ljust(6, "0")[:6]))
         region = None
         if g["region"]:
             region = _zone(g["region"])
             if region is None:
-                return None
+                return nothing
         if g["zone"]:
             minutes = _offset(g["zone"], labels)
             if minutes is None:
-                return None
+                return nothing
             at = (local - timedelta(minutes=minutes)).replace(tzinfo=UTC)
-            return at if region is None or at in _instants(local, region) else None
+            return (at, True) if region is None or at in _instants(local, region) else nothing
         region = region or _zone(tz_name)
         found = _instants(local, region) if region else []
-        return found[0] if len(found) == 1 else None
+        # A zone written in the text may skip or repeat the time, which then is none; a feed's zone leaves it a real time.
+        return found[0] if len(found) == 1 else None, len(found) == 1 or not g["region"]
     except (ValueError, OverflowError):
-        return None
+        return nothing
 
 
 def written(value: date | datetime | None) -> str | None:
@@ -133,17 +140,24 @@ def label_map(zone_label: DataFrame) -> dict[str, int]:
     return {r["label"].upper(): r["offset_min"] for r in rows if r["label"] and r["offset_min"] is not None}
 
 
+def moment_form(text: Column, date_order: Column, tz_name: Column, labels: dict[str, int]) -> Column:
+    """norm, the normal form, and real, whether the text names a real day and time in some zone, as a struct."""
+
+    @F.pandas_udf("struct<norm:string,real:boolean>")
+    def read(texts: pd.Series, orders: pd.Series, zones: pd.Series) -> pd.DataFrame:
+        found = [read_moment(*x, labels) for x in zip(texts, orders, zones, strict=True)]
+        return pd.DataFrame({"norm": pd.Series([written(v) for v, _ in found], dtype=object), "real": pd.Series([r for _, r in found], dtype=bool)})
+
+    return read(text, date_order, tz_name)
+
+
 def normal_form(text: Column, date_order: Column, tz_name: Column, labels: dict[str, int]) -> Column:
     """`yyyy-MM-dd` for a date, `yyyy-MM-ddTHH:mm:ss.SSSSSSZ` in UTC for a time, else null.
 
-    Null are: null, texts over LONGEST characters, texts of no known form, dates or times that don't exist, a weekday
+    Null are: null, texts of no known form, dates or times that don't exist, a weekday
     that isn't the date's, offsets beyond 14 hours, unknown labels or zones, an offset that contradicts the zone
     named beside it, and local times that their zone skips or repeats. date_order ('DMY' or 'MDY') orders numeric dates
-    that don't start with the year, tz_name is the zone of times without one. Decimals beyond the sixth are cut.
+    that don't start with the year, tz_name is the zone of times without one. Decimals beyond the sixth are cut. White
+    space at either end doesn't count.
     """
-
-    @F.pandas_udf("string")
-    def read(texts: pd.Series, orders: pd.Series, zones: pd.Series) -> pd.Series:
-        return pd.Series([written(read_instant(*x, labels)) for x in zip(texts, orders, zones, strict=True)], dtype=object)
-
-    return read(text, date_order, tz_name)
+    return moment_form(text, date_order, tz_name, labels)["norm"]

@@ -3,6 +3,7 @@
 import csv
 import io
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,12 +84,15 @@ def test_dictionary_grows(spark, feeds, labels, tmp_path):
     path = str(tmp_path / "dictionary")
     known = InstantDictionary(feeds, labels, path)
     first = spark.createDataFrame([("f", "01/02/2024"), ("f", "01/02/2024"), ("f", None)], "_feed string, _value string")
-    assert [(r["_value"], r["n"], r["norm"]) for r in known.update(first).collect()] == [("01/02/2024", 2, "2024-02-01")]
+    assert [(r["_key"], r["n"], r["norm"]) for r in known.update(first).collect()] == [("01/02/2024", 2, "2024-02-01")]
     second = first.unionByName(spark.createDataFrame([("g", "01/02/2024")], "_feed string, _value string"))
     assert sorted((r["_feed"], r["norm"]) for r in InstantDictionary(feeds, labels, path).update(second).collect()) == [("f", "2024-02-01"), ("g", "2024-01-02")]
     assert len(known._batches()) == 2 and known.stored().count() == 2
-    (tmp_path / "dictionary" / "batch-broken").mkdir()
+    assert len(known.update(second).collect()) == 2 and len(known._batches()) == 2  # nothing new, nothing parsed
+    (Path(known.path) / "batch-broken").mkdir()
     assert known.stored().count() == 2
+    other = InstantDictionary(feeds.where("feed = 'g'"), labels, path)  # other zones read otherwise
+    assert other.path != known.path and other.stored().count() == 0
 
 
 def line_of(fields, delimiter=";"):
@@ -116,6 +120,8 @@ LINES = {
     "R;1.00;EUR;2024-02-30;d;i;n;b": "InvalidDate",
     "R;1.00;EUR;2023-06-15T25:61:00;d;i;n;b": "InvalidDate",
     "R;1.00;EUR;2023-03-26 02:30:00;d;i;n;b": None,
+    f"R; 12.50{' ' * 70};EUR;2024-01-15{' ' * 60};d;i;n;b": None,
+    f"R;{'0' * 90}1.50;EUR;2024-01-15;d\x01e;i;n;b": None,
     f"R;{'9' * 500};EUR;2024-01-15;d;i;n;b": "InvalidAmount",
     f"R;1.00;EUR;{'9' * 500};d;i;n;b": "InvalidDate",
     f'R;1.00;EUR;2024-01-15;"{"x;" * 100_000}";i;n;whenever': None,
@@ -136,10 +142,10 @@ def test_lines(spark, feeds, labels):
 
 def test_split_line_round_trip(spark):
     rng = random.Random(5)
-    rows = [["".join(rng.choice('ab;"\n\x01,') for _ in range(rng.randrange(6))) for _ in range(rng.randrange(2, 6))] for _ in range(300)]
+    rows = [["".join(rng.choice('ab;"\n\x01\x02,') for _ in range(rng.randrange(6))) for _ in range(rng.randrange(2, 6))] for _ in range(300)]
     lines = [";".join('"' + f.replace('"', '""') + '"' if rng.random() < 0.5 or set(f) & set(';"\n') else f for f in r) for r in rows]
     got = spark.createDataFrame(list(enumerate(lines)), "i int, line string").select("i", split_line(F.col("line"), F.lit(";")).alias("f")).orderBy("i").collect()
-    assert [r["f"] for r in got] == [[f.replace("\x01", "�") for f in r] for r in rows]
+    assert [r["f"] for r in got] == rows
 
 
 def test_lookup_of_hot_keys(spark, rows_of):
