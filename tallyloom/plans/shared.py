@@ -52,7 +52,7 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     plan = df._jdf.queryExecution().optimizedPlan()
     files = len(df.inputFiles())
-    return df.repartition(cores) if 0 < files < cores and int(plan.stats().sizeInBytes().toString()) < cores * SMALL_PART else df
+    return df.repartition(cores) if 0 < files < cores and int(str(plan.stats().sizeInBytes())) < cores * SMALL_PART else df
 
 
 def hot_keys(counts: DataFrame, n: str = "n", most: int = 1000) -> DataFrame | None:
