@@ -1,7 +1,7 @@
 """Column functions of the normaliser: references, amounts, dates and text fields of raw transactions.
 
-Upper case is that of Spark, which writes some letters as two; all functions keep null. Times without a zone are UTC:
-the session's time zone must be UTC.
+Upper case is that of Spark, which writes some letters as two; all functions keep null. Times without a zone are UTC,
+and days are those of UTC, whatever the session's time zone.
 """
 
 from __future__ import annotations
@@ -67,11 +67,14 @@ def parse_date(text: Column) -> Column:
         return F.when(t.rlike(YEAR_FIRST), F.regexp_replace(t, YEAR_FIRST, "$1-$2-$3$4")).when(t.rlike(YEAR_LAST), turned).when(t.rlike(COMPACT), F.regexp_replace(t, COMPACT, "$1-$2-$3"))
 
     def cast(x: Column) -> Column:
-        return F.regexp_replace(F.regexp_replace(x, r"(:\d{2}(?:\.\d+)? ?[+-]\d{2})(\d{2})$", "$1:$2"), r"(:\d{2}(?:\.\d+)? ?[+-]\d{2})$", "$1:00").try_cast("timestamp")
+        full = F.regexp_replace(x, r"([ T]\d{1,2}:\d{2})(?![:\d])", "$1:00")
+        offset = F.regexp_replace(F.regexp_replace(full, r"(:\d{2}(?:\.\d+)? ?[+-]\d{2})(\d{2})$", "$1:$2"), r"(:\d{2}(?:\.\d+)? ?[+-]\d{2})$", "$1:00")
+        zoned = F.when(offset.rlike(r":\d{2}.*(?:Z|UTC|GMT|[+-]\d{2}:\d{2})$"), offset).otherwise(F.concat(offset, F.when(offset.contains(":"), "Z").otherwise(" 00:00:00Z")))
+        return zoned.try_cast("timestamp")
 
     def worded(t: Column) -> Column:
         plain = F.regexp_replace(t, r"^[A-Za-z]{3}, ", "")
-        return F.when(t.rlike(WORDED), F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in WORDED_FORMS]))
+        return F.when(t.rlike(WORDED), F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) if f.endswith("Z") else F.try_to_timestamp(F.concat(plain, F.lit(" +0000")), F.lit(f"{f} Z")) for f in WORDED_FORMS]))
 
     return let(wide_trim(text), lambda t: let(iso(t), lambda x: F.when(x.isNotNull(), cast(x)).otherwise(worded(t))))
 
@@ -94,7 +97,7 @@ def currency_code(text: Column) -> Column:
 
 
 def utc_date(ts: Column) -> Column:
-    return F.to_date(ts)
+    return F.date_from_unix_date(F.floor(F.unix_micros(ts) / F.lit(86_400_000_000)).cast("int"))
 
 
 def minor_units(amount: Column) -> Column:

@@ -24,6 +24,7 @@ from tallyloom.plans.shared import shared_dir, spread, write_table
 from tallyloom.plans.strategies import Fuzzy, Partial, pipeline_from_names
 from tallyloom.sources.files import read_raw
 from tallyloom.tables import Tables
+from tallyloom.value_sql import dates_sql, trimmed
 
 Query = Callable[[SparkSession, str], DataFrame]
 OPTIONS = ReconOptions()
@@ -213,15 +214,41 @@ _LABELS = """
 _ALL = f"with {_CASCADE}, {_TAGS} {_LABELS}"
 _REF = f"upper(translate({_TRIM.format('reference')}, ' -/', ''))"
 _NUMBER = r"regexp_full_match({0}, '[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{{1,2}})?')"
-_AMOUNT = rf"""
-    m as (select distinct amount as raw, {_TRIM.format("amount")} as t from raw_txn),
-    v as (select raw, regexp_replace(regexp_replace(case when regexp_matches(t, ',[^.]*$') then translate(t, ',.', '.') else translate(t, ',', '') end, '^\(\s*([^()+-]*?)\s*\)$', '-\1'), '^([^+-]*?)\s*-$', '-\1') as x from m),
-    amounts as (select raw, case when {_NUMBER.format("x")} then cast(round(cast(x as decimal(28,10)), 2) * 100 as bigint) end as cents from v)
-"""
+
+
+def _amount_sql(table: str, name: str) -> str:
+    """CTEs that end in `name`: raw, cents for each distinct amount of a table (lenient reading)."""
+    return rf"""
+        {name}_m as (select distinct amount as raw, {_TRIM.format("amount")} as t from {table}),
+        {name}_v as (select raw, regexp_replace(regexp_replace(case when regexp_matches(t, ',[^.]*$') then translate(t, ',.', '.') else translate(t, ',', '') end, '^\(\s*([^()+-]*?)\s*\)$', '-\1'), '^([^+-]*?)\s*-$', '-\1') as x from {name}_m),
+        {name} as (select raw, case when {_NUMBER.format("x")} then cast(round(cast(x as decimal(28,10)), 2) * 100 as bigint) end as cents from {name}_v)
+    """
+
+
+def _normal_sql(table: str, name: str) -> str:
+    """CTEs that end in `name`: the rows of a raw table with typed values and the first error, as the normaliser makes them."""
+    t, blank = trimmed, lambda c: f"coalesce({trimmed(c)}, '') = ''"
+    fields = {"reference": "Reference", "amount": "Amount", "currency": "Currency", "value_date": "ValueDate"}
+    quoted = lambda c: f"chr(39) || {c} || chr(39) || '.'"
+    required = " ".join(f"when {blank(c)} then '{f} is required.'" for c, f in fields.items())
+    ref = f"upper(translate({t('reference')}, ' -/', ''))"
+    return f"""
+        {_amount_sql(table, f"{name}_amount")}, {dates_sql(f"select value_date as raw from {table}", f"{name}_dates")},
+        {name}_r as (select r.*, {ref} as ref, case when length({t('currency')}) = 3 then upper({t('currency')}) end as code, a.cents, v.at_utc as value_at,
+                     case {required} when a.cents is null then 'Cannot parse amount ' || {quoted('amount')} when v.at_utc is null then 'Cannot parse date ' || {quoted('value_date')}
+                          when {ref} = '' then 'Normalization failed: reference is empty.' when length({t('currency')}) <> 3 then 'Normalization failed: currency has not three characters.' end as error_message,
+                     case {' '.join(f"when {blank(c)} then '{f}'" for c, f in fields.items())} when a.cents is null then 'Amount' when v.at_utc is null then 'ValueDate' end as error_field
+                     from {table} r left join {name}_amount a on r.amount = a.raw left join {name}_dates v on r.value_date = v.raw),
+        {name} as (select *, upper({t("coalesce(description, chr(32))")}) as description_norm, case when contains({t('iban')}, ' ') then upper(replace({t('iban')}, ' ', '')) else {t('iban')} end as iban_norm, {t('counterparty_name')} as name_norm from {name}_r)
+    """
+
 
 SQL: dict[str, str] = {
+    "norm_date": f"with {dates_sql('select value_date as raw from raw_txn')} select raw, strftime(at_utc, '%Y-%m-%d %H:%M:%S') as at from dates union all select distinct null, null from raw_txn where value_date is null",
+    "norm_full": f"with {_normal_sql('raw_txn', 'n')} select source_file, row_number as source_row_number, ref, code as currency, cents, strftime(value_at, '%Y-%m-%d') as value_date, description_norm as description, iban_norm as iban, name_norm as counterparty_name from n where error_message is null",
+    "norm_rejects": f"with {_normal_sql('raw_txn', 'n')} select source_file, row_number, 'INVALID_TRANSACTION' as error_code, error_field, error_message from n where error_message is not null",
     "norm_reference": f"select distinct reference as raw, {_REF} as ref from raw_txn",
-    "norm_amount": f"with {_AMOUNT} select raw, cents from amounts",
+    "norm_amount": f"with {_amount_sql('raw_txn', 'amounts')} select raw, cents from amounts",
     "norm_description": f"select distinct description as raw, upper({_TRIM.format('coalesce(description, chr(32))')}) as description from raw_txn",
     "norm_iban": f"select distinct iban as raw, case when contains({_TRIM.format('iban')}, ' ') then upper(replace({_TRIM.format('iban')}, ' ', '')) else {_TRIM.format('iban')} end as iban from raw_txn",
     "norm_currency": f"select distinct currency as raw, case when length({_TRIM.format('currency')}) = 3 then upper({_TRIM.format('currency')}) end as currency from raw_txn",

@@ -70,4 +70,34 @@ def instants_sql(texts: str, name: str = "instants") -> str:
     """
 
 
+_HOURS = r"(?:[T ](\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d{1,9}))?)?(?: ?(Z|UTC|GMT|[+-]\d{2}(?::?\d{2})?))?)?"
+#: The lenient reading of the normaliser: kind, pattern of the date, texts of year, month and day.
+_LOOSE = [
+    ("y", r"(\d{4})[-/](\d{1,2})[-/](\d{1,2})", "g1", "g2", "g3"),
+    *((f"l{i}", rf"(\d{{1,2}})[{s}](\d{{1,2}})[{s}](\d{{4}})", "g3", "case when cast(g1 as int) <= 12 then g1 else g2 end", "case when cast(g1 as int) <= 12 then g2 else g1 end") for i, s in enumerate("-/.")),
+]
+
+
+def dates_sql(texts: str, name: str = "dates") -> str:
+    """CTEs that end in `name`: raw and at_utc for each distinct raw of the query texts, as the normaliser reads them."""
+    which = "case " + " ".join(f"when regexp_full_match(t, '{p}{_HOURS}') then '{k}'" for k, p, *_ in _LOOSE) + r" when regexp_full_match(t, '\d{8}') then 'c' end"
+    pick = lambda i: "case kind " + " ".join(f"when '{k}' then regexp_extract(t, '^{p}{_HOURS}$', {i})" for k, p, *_ in _LOOSE) + " end"
+    part = lambda j: "case kind " + " ".join(f"when '{f[0]}' then {f[j]}" for f in _LOOSE) + f" when 'c' then substr(t, {(1, 5, 7)[j - 2]}, {(4, 2, 2)[j - 2]}) end"
+    worded = ["%d %b %Y", "%b %d, %Y", "%m/%d/%Y %I:%M:%S %p", "%d %b %Y %H:%M:%S"]
+    number = lambda c: f"coalesce(try_cast(nullif({c}, '') as int), 0)"
+    fraction = number("substr(rpad(nullif(g7, ''), 6, '0'), 1, 6)")
+    return rf"""
+        {name}_t as (select distinct raw, {trimmed('raw')} as t from ({texts}) x where raw is not null),
+        {name}_k as (select *, {which} as kind from {name}_t),
+        {name}_g as (select *, {', '.join(f'{pick(i)} as g{i}' for i in range(1, 9))} from {name}_k),
+        {name}_p as (select *, try_cast({part(2)} || '-' || lpad({part(3)}, 2, '0') || '-' || lpad({part(4)}, 2, '0') as date) as day, replace(coalesce(g8, ''), ':', '') as z, regexp_replace(t, '^[A-Za-z]{{3}}, ', '') as plain from {name}_g),
+        {name}_q as (select *, case when regexp_full_match(plain, '.* [+-]\d{{4}}') then left(plain, length(plain) - 6) else plain end as base,
+                            case when regexp_full_match(plain, '.* [+-]\d{{4}}') then (case substr(plain, length(plain) - 4, 1) when '-' then -1 else 1 end) * (cast(substr(plain, length(plain) - 3, 2) as int) * 60 + cast(right(plain, 2) as int)) else 0 end as w_off from {name}_p),
+        {name} as (select raw, case when day is not null and {number('g4')} < 24 and {number('g5')} < 60 and {number('g6')} < 60 then
+                                 cast(day as timestamp) + to_microseconds(cast({number('g4')} * 3600 + {number('g5')} * 60 + {number('g6')} as bigint) * 1000000 + {fraction})
+                                 - to_minutes(case when left(z, 1) in ('+', '-') then (case left(z, 1) when '-' then -1 else 1 end) * (cast(substr(z, 2, 2) as int) * 60 + {number('substr(z, 4, 2)')}) else 0 end)
+                               when kind is null then try_strptime(base, [{', '.join(f"'{f}'" for f in worded)}]) - to_minutes(w_off) end as at_utc from {name}_q)
+    """
+
+
 FEED = "split_part({0}, '_', 1)"
