@@ -22,7 +22,7 @@ from tallyloom.operators.reconcile import reconcile, summary
 from tallyloom.options import ReconOptions, ToleranceRule
 from tallyloom.plans.shared import shared_dir, spread, write_table
 from tallyloom.plans.strategies import Fuzzy, Partial, pipeline_from_names
-from tallyloom.sources.files import read_raw
+from tallyloom.sources.files import page, read_raw
 from tallyloom.tables import Tables
 from tallyloom.value_sql import dates_sql, trimmed
 
@@ -59,8 +59,8 @@ def _matched(t: Tables, pipeline=None) -> DataFrame:
     return match(s, g, OPTIONS, pipeline)
 
 
-def _shown(pairs: DataFrame) -> DataFrame:
-    return pairs.select("ref", "currency", "s_ordinal", "t_ordinal", cents(F.col("s_amount")).alias("s_cents"), cents(F.col("t_amount")).alias("t_cents"), F.col("s_date").cast("string").alias("s_date"), F.col("t_date").cast("string").alias("t_date"), "strategy", points(F.col("score")).alias("score_bp"))
+def _shown(pairs: DataFrame, *more: str) -> DataFrame:
+    return pairs.select(*more, "ref", "currency", "s_ordinal", "t_ordinal", cents(F.col("s_amount")).alias("s_cents"), cents(F.col("t_amount")).alias("t_cents"), F.col("s_date").cast("string").alias("s_date"), F.col("t_date").cast("string").alias("t_date"), "strategy", points(F.col("score")).alias("score_bp"))
 
 
 def _candidates(t: Tables, strategy) -> DataFrame:
@@ -148,6 +148,59 @@ QUERIES: dict[str, Query] = {
 }
 
 
+def _sides(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return t.txn_source, t.txn_target
+
+
+def _transaction_pairs(t: Tables) -> DataFrame:
+    return match(*_sides(t), OPTIONS)
+
+
+def _transactions_left(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    pairs = write_table(_transaction_pairs(t), "pairs")
+    source, target = _sides(t)
+    return unmatched_sources(source, pairs).drop("reason"), unmatched_targets(target, pairs), pairs
+
+
+def _reconciled_raw(t: Tables) -> DataFrame:
+    """Both systems' raw rows, every one of them with what became of it: matched, unmatched for a reason, or rejected."""
+    report = reconcile(t.raw_txn, t.raw_txn_copy, OPTIONS)
+    rows = report.unmatched.select("side", "source_file", F.col("source_row_number").alias("row_number"), F.col("reason").alias("outcome"))
+    rows = rows.unionByName(report.rejects.select(F.col("error_side").alias("side"), "source_file", "row_number", F.lit("Rejected").alias("outcome")))
+    for side, kept in (("S", report.sources), ("T", report.targets)):
+        met = kept.join(report.pairs.select(F.col(f"{side.lower()}_id").alias("ordinal"), "strategy"), "ordinal")
+        rows = rows.unionByName(met.select("side", "source_file", F.col("source_row_number").alias("row_number"), F.concat(F.lit("Matched"), F.col("strategy")).alias("outcome")))
+    return rows.groupBy("side", "source_file", "row_number", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _counters(t: Tables) -> DataFrame:
+    """The report's counters over both systems' raw rows."""
+    report = reconcile(t.raw_txn, t.raw_txn_copy, OPTIONS)
+    cols = ("total_source", "total_target", "matched", "exact_count", "fuzzy_count", "partial_count", "unmatched_source", "unmatched_target", "skipped_rows", "total_errors", "dead_letter_files")
+    return report.summary.select(*cols, (F.col("match_rate") * 100).cast("bigint").alias("match_rate_bp"))
+
+
+def _contended(t: Tables) -> DataFrame:
+    """Lines of an order against its lines at a tenth less or more: many sources a bucket want the same few targets."""
+    lines = t.lineitem.select(F.col("l_orderkey").cast("string").alias("ref"), F.lit("EUR").alias("currency"), F.col("l_quantity").cast("decimal(18,2)").alias("amount"), F.to_date("l_shipdate").alias("value_date"), (F.col("l_orderkey") * 1_000_000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("ordinal"))
+    lines = lines.groupBy("ref", "currency", "ordinal").agg(F.max("amount").alias("amount"), F.max("value_date").alias("value_date"))
+    pairs = match(lines, lines.withColumn("value_date", F.date_add("value_date", 20)), OPTIONS)
+    return pairs.select("ref", "s_ordinal", "t_ordinal", "strategy", points(F.col("score")).alias("score_bp"))
+
+
+QUERIES |= {
+    "match_transactions": over(lambda t: _shown(_transaction_pairs(t), "s_id", "t_id")),
+    "match_transactions_reordered": over(lambda t: _shown(match(*_sides(t), OPTIONS, pipeline_from_names(REORDERED, "ScaledLong")), "s_id", "t_id")),
+    "transaction_legs": over(lambda t: reference_groups(*_transactions_left(t)).select("ref", "sc", "tc", "ms", "mt")),
+    "classify_transactions": over(lambda t: classify(*_transactions_left(t)).select("txn_id", "side", "ref", "currency", "reason")),
+    "reconcile_raw": over(_reconciled_raw),
+    "report_counters": over(_counters),
+    "report_page": over(lambda t: page(_transaction_pairs(t), ["s_ordinal"], 2, 100).select("s_id", "t_id", "strategy")),
+    "transaction_id_rejects": over(lambda t: t.raw_txn.select("raw_id", F.coalesce("reference", F.lit("")).alias("text")).where(~S.valid_transaction_id(F.col("text")))),
+    "match_contended": over(lambda t: _contended(t)),
+}
+
+
 def _as_raw(rows: DataFrame, file: str) -> DataFrame:
     """A ledger written as text: references in lower case with hyphens, amounts with commas."""
     return rows.select(
@@ -243,7 +296,59 @@ def _normal_sql(table: str, name: str) -> str:
     """
 
 
+def _turns_sql(*names: str) -> str:
+    """CTEs that end in pairs: any number of sources a bucket taking turns, one step of the recursion a turn.
+
+    src and tgt have id, ordinal, ref, currency, cents and value_date; ordinals are unique on each side.
+    """
+    case = lambda i: "case " + " ".join(f"when {_TEST[n][0]} then {(j, _TEST[n][1], _TEST[n][2], repr(n))[i]}" for j, n in enumerate(names)) + " end"
+    return f"""
+        k as (select *, row_number() over (partition by ref, currency order by ordinal) as turn from src where ref is not null and currency is not null),
+        met as (select k.ref, k.currency, k.turn, k.id as s_id, t.id as t_id, k.ordinal as s_ordinal, t.ordinal as t_ordinal, k.cents as s_cents, t.cents as t_cents, k.value_date as s_day, t.value_date as t_day,
+                       abs(date_diff('day', k.value_date, t.value_date)) as days, abs(k.cents - t.cents) as gap from k join tgt t on k.ref = t.ref and k.currency = t.currency),
+        c as (select * from (select *, {case(0)} as rk, {case(1)} as pref, cast({case(2)} as bigint) as score_bp, {case(3)} as strategy from met) where rk is not null),
+        lanes as (select ref, currency, max(turn) as turns from c group by all),
+        steps(ref, currency, turn, claimed, s_ordinal, t_ordinal, strategy) as (
+            select ref, currency, cast(0 as bigint), cast([] as bigint[]), cast(null as bigint), cast(null as bigint), cast(null as varchar) from lanes
+            union all
+            select p.ref, p.currency, p.turn + 1, case when c.t_ordinal is null then p.claimed else list_append(p.claimed, c.t_ordinal) end, c.s_ordinal, c.t_ordinal, c.strategy
+            from steps p join lanes l on p.ref = l.ref and p.currency = l.currency and p.turn < l.turns
+                 left join c on c.ref = p.ref and c.currency = p.currency and c.turn = p.turn + 1 and not list_contains(p.claimed, c.t_ordinal)
+            qualify row_number() over (partition by p.ref, p.currency order by c.rk, c.pref, c.t_ordinal) = 1),
+        pairs as (select c.ref, c.currency, c.s_id, c.t_id, c.s_ordinal, c.t_ordinal, c.s_cents, c.t_cents, cast(c.s_day as varchar) as s_date, cast(c.t_day as varchar) as t_date, c.strategy, c.score_bp
+                  from steps join c on steps.s_ordinal = c.s_ordinal and steps.t_ordinal = c.t_ordinal)
+    """
+
+
+_TXN = "with recursive src as (select *, txn_id as id, cast(amount * 100 as bigint) as cents from txn_source), tgt as (select *, txn_id as id, cast(amount * 100 as bigint) as cents from txn_target), "
+_TXN_CASCADE = _TXN + _turns_sql("Exact", "Fuzzy", "Partial")
+_NUMBERED = "row_number() over (order by source_file, row_number, ref, code, cents, cast(value_at as date), description_norm, iban_norm, name_norm)"
+_RAW_SIDE = lambda name: f"select {_NUMBERED} as id, {_NUMBERED} as ordinal, ref, code as currency, cents, cents / 100.0 as amount, cast(value_at as date) as value_date, source_file, row_number from {name} where error_message is null"
+_RAW_RECONCILED = f"""
+    with recursive {_normal_sql('raw_txn', 'n')}, {_normal_sql('raw_txn_copy', 'm')}, src as materialized ({_RAW_SIDE('n')}), tgt as materialized ({_RAW_SIDE('m')}), {_turns_sql('Exact', 'Fuzzy', 'Partial')}, {_TAGS}
+    {_LABELS.replace('labels as (select ordinal, ref, currency, amount, value_date,', "labels as (select 'S' as side, source_file, row_number,").replace('union all select ordinal, ref, currency, amount, value_date,', "union all select 'T', source_file, row_number,")},
+    outcomes as (select side, source_file, row_number, reason as outcome from labels
+        union all select 'S', source_file, row_number, 'Matched' || strategy from pairs join src on pairs.s_ordinal = src.ordinal
+        union all select 'T', source_file, row_number, 'Matched' || strategy from pairs join tgt on pairs.t_ordinal = tgt.ordinal
+        union all select 'S', source_file, row_number, 'Rejected' from n where error_message is not null
+        union all select 'T', source_file, row_number, 'Rejected' from m where error_message is not null)
+    select side, source_file, row_number, outcome, count(*) as n from outcomes group by all
+"""
+_TXN_LABELS = _LABELS.replace("select ordinal, ref, currency, amount, value_date,", "select id as txn_id, side, ref, currency,").replace("from left_s join g using (ref)", "from left_s left join g using (ref)").replace("from left_t join g using (ref)", "from left_t left join g using (ref)")
+
 SQL: dict[str, str] = {
+    "match_transactions": f"{_TXN_CASCADE} select * from pairs",
+    "match_transactions_reordered": f"{_TXN} {_turns_sql('Partial', 'Exact')} select * from pairs",
+    "transaction_legs": f"{_TXN_CASCADE}, {_TAGS} {_LABELS} select ref, cast(sc as bigint) as sc, cast(tc as bigint) as tc, cast(ms as bigint) as ms, cast(mt as bigint) as mt from g where ref is not null",
+    "classify_transactions": f"{_TXN_CASCADE}, {_TAGS} {_TXN_LABELS.replace('group by ref having', 'where ref is not null group by ref having')} select txn_id, side, ref, currency, reason from labels",
+    "reconcile_raw": _RAW_RECONCILED,
+    "report_counters": _RAW_RECONCILED.rsplit("select side", 1)[0] + """select (select count(*) from src) as total_source, (select count(*) from tgt) as total_target, (select count(*) from pairs) as matched, count(*) filter (side = 'S' and outcome = 'MatchedExact') as exact_count,
+        count(*) filter (side = 'S' and outcome = 'MatchedFuzzy') as fuzzy_count, count(*) filter (side = 'S' and outcome = 'MatchedPartial') as partial_count, (select count(*) from left_s) as unmatched_source, (select count(*) from left_t) as unmatched_target,
+        count(*) filter (outcome = 'Rejected') as skipped_rows, count(*) filter (outcome = 'Rejected') as total_errors, count(distinct source_file) filter (outcome = 'Rejected') as dead_letter_files, cast(round((select count(*) from pairs) * 10000.0 / (select count(*) from src)) as bigint) as match_rate_bp from outcomes""",
+    "report_page": f"{_TXN_CASCADE} select s_id, t_id, strategy from pairs order by s_ordinal limit 100 offset 100",
+    "transaction_id_rejects": "select raw_id, coalesce(reference, '') as text from raw_txn where not regexp_full_match(lower(coalesce(reference, '')), '[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9a-f]{64}')",
+    "match_contended": f"""with recursive src as (select l_orderkey::varchar as ref, 'EUR' as currency, l_orderkey * 1000000 + l_partkey * 10 + l_linenumber as ordinal, l_orderkey * 1000000 + l_partkey * 10 + l_linenumber as id, max(cast(cast(l_quantity as decimal(18,2)) * 100 as bigint)) as cents, max(cast(l_shipdate as date)) as value_date from lineitem group by all),
+        tgt as (select * replace (value_date + 20 as value_date) from src), {_turns_sql('Exact', 'Fuzzy', 'Partial')} select ref, s_ordinal, t_ordinal, strategy, score_bp from pairs""",
     "norm_date": f"with {dates_sql('select value_date as raw from raw_txn')} select raw, strftime(at_utc, '%Y-%m-%d %H:%M:%S') as at from dates union all select distinct null, null from raw_txn where value_date is null",
     "norm_full": f"with {_normal_sql('raw_txn', 'n')} select source_file, row_number as source_row_number, ref, code as currency, cents, strftime(value_at, '%Y-%m-%d') as value_date, description_norm as description, iban_norm as iban, name_norm as counterparty_name from n where error_message is null",
     "norm_rejects": f"with {_normal_sql('raw_txn', 'n')} select source_file, row_number, 'INVALID_TRANSACTION' as error_code, error_field, error_message from n where error_message is not null",

@@ -74,7 +74,7 @@ class Progress:
 
 @dataclass(frozen=True)
 class Report:
-    """A finished run; tables are lazy and may be read several times."""
+    """A finished run; tables may be read several times. seconds has the time of each step; sources and targets are the rows that were matched, with the ordinals that pairs name."""
 
     job_id: str
     status: Status
@@ -85,6 +85,8 @@ class Report:
     started_at: datetime
     completed_at: datetime
     seconds: dict[str, float] = field(default_factory=dict)
+    sources: DataFrame | None = None
+    targets: DataFrame | None = None
 
     @property
     def reasons(self) -> DataFrame:
@@ -129,7 +131,7 @@ def reconcile(source: DataFrame, target: DataFrame, options: ReconOptions | None
     if raw:
         source, bad_s = normalize(spread(source), "S")
         target, bad_t = normalize(spread(target), "T")
-        rejects = write_table(bad_s.unionByName(bad_t), "rejects")
+        rejects = write_table(bad_s.withColumn("error_side", F.lit("S")).unionByName(bad_t.withColumn("error_side", F.lit("T"))), "rejects")
     source, target = with_ordinals(source), with_ordinals(target)
     told("normalize")
     pairs = write_table(match(source, target, options, pipeline, id_col="ordinal"), "pairs")
@@ -138,4 +140,4 @@ def reconcile(source: DataFrame, target: DataFrame, options: ReconOptions | None
     told("classify")
     bad = any(df is not None and df.take(1) for df in (rejects, unreadable))
     totals = summary(source, target, pairs, rejects, unreadable)
-    return Report(job_id, Status.PARTIALLY_COMPLETED if bad else Status.COMPLETED, pairs, left, rejects if rejects is not None else left.limit(0), totals, began, datetime.now(UTC), seconds)
+    return Report(job_id, Status.PARTIALLY_COMPLETED if bad else Status.COMPLETED, pairs, left, rejects if rejects is not None else left.limit(0), totals, began, datetime.now(UTC), seconds, source, target)

@@ -32,7 +32,7 @@ def _guarded(df: DataFrame, max_file_bytes: int | None) -> DataFrame:
 def read_raw(spark: SparkSession, path: str | list[str], fmt: FileFormat | str, delimiter: str = ",", max_file_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(raw rows, records that couldn't be read) of files; the schema is fixed and nothing is inferred.
 
-    CSV has a header and its columns are those of raw rows in any order; JSON has an object a line. A source_file that
+    CSV files have one header, the same in all of them, with columns of raw rows in any order; JSON has an object a line. A source_file that
     isn't given is the file's name; where a row_number isn't given, the rows of each file are numbered as they stand in
     it, unreadable ones included. MT940 statements are read whole, a file a record, so max_file_bytes should be
     given for them: each :61: line is a row, with the :86: text behind it as its description. An unknown format is an
@@ -41,8 +41,12 @@ def read_raw(spark: SparkSession, path: str | list[str], fmt: FileFormat | str,
     fmt = FileFormat(fmt.capitalize() if isinstance(fmt, str) and not isinstance(fmt, FileFormat) else fmt)
     schema = T.StructType([*RAW.fields, T.StructField(CORRUPT, T.StringType())])
     if fmt is FileFormat.CSV:
+        # Spark takes columns of CSV by place, so their places are taken from a header; other headers are an error then.
         reader = spark.read.options(header=True, sep=delimiter, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=False, escape='"', multiLine=False)
-        df = reader.schema(schema).csv(path)
+        there = reader.csv(path).columns
+        df = reader.schema(T.StructType([*[T.StructField(c, T.StringType()) for c in there], T.StructField(CORRUPT, T.StringType())])).csv(path)
+        own = {f.name: F.col(f.name).try_cast(f.dataType) if f.name in there else F.lit(None).cast(f.dataType) for f in RAW.fields}
+        df = df.select(CORRUPT, "_metadata", *[c.alias(n) for n, c in own.items()])
     elif fmt is FileFormat.JSON:
         df = spark.read.options(mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT).schema(schema).json(path)
     else:

@@ -136,6 +136,7 @@ def test_lines(spark, feeds, labels):
     first = lines.where("line_id = 0").first()
     assert (first["description"], first["iban"], first["value_at"], str(first["amount_value"])) == ('a;b "c"\nd', "", "2024-01-15", "1.00")
     assert lines.where("line_id = 1").first()["iban"] == '"'
+    assert lines.where(F.col("description") == "d\x01e").count() == 1
     assert loaded_rows(lines).count() + row_errors(lines).count() == len(LINES) + 2
     assert load_lines(raw.limit(0), feeds, labels).count() == 0
 

@@ -9,7 +9,7 @@ import pytest
 
 from tallyloom import queries
 from tallyloom.schemas import RAW
-from tallyloom.sources.files import FileTooLargeError, read_raw, results
+from tallyloom.sources.files import FileTooLargeError, batches, page, read_raw, results
 from tallyloom.streaming.matching import match_stream, normalize_stream
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -30,6 +30,22 @@ def test_csv_and_json(spark, tmp_path):
         read_raw(spark, str(tmp_path), "Xml")
 
 
+def test_rows_of_files_are_numbered(spark, tmp_path):
+    head = "reference,amount,currency,value_date,description,iban,counterparty_name,booking_date\n"
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_text(head + "".join(f"R{i},{i}.00,EUR,2024-01-15,,,,\n" for i in range(1, 2001)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+    try:
+        good, _ = read_raw(spark, str(tmp_path), "Csv")
+        rows = good.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["source_file"], r["row_number"]) for r in rows) == [(f"{n}.csv", i) for n in "ab" for i in range(1, 2001)]
+    assert all(r["reference"] == f"R{r['row_number']}" for r in rows)
+    assert [len(b) for b in batches(good.limit(25), 10)] == [10, 10, 5]
+    assert [r["row_number"] for r in page(good, ["source_file", "row_number"], 3, 5).collect()] == [11, 12, 13, 14, 15]
+
+
 def test_mt940(spark, tmp_path):
     (tmp_path / "s.sta").write_text(":20:X\n:25:BANK/DE001234\n:28C:1/1\n:60F:C240101EUR100,00\n:61:2401150116C12,50NTRFREF1//B\n:86:Payment\nfor rent\n:61:240116D7,NTRFREF2\n:86:Fee\n:61:broken\n:62F:C240131EUR105,50\n-\n")
     good, bad = read_raw(spark, str(tmp_path), "Mt940", max_file_bytes=10_000)

@@ -9,10 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom import ledgers
+from tallyloom.functions.divisors import divisors
 from tallyloom.operators.classify import classify, reason_counts
 from tallyloom.operators.match import match, match_exact, match_results, numbered, unmatched_sources, unmatched_targets
 from tallyloom.operators.normalize import normalize
-from tallyloom.operators.reconcile import reconcile, summary
+from tallyloom.operators.reconcile import error_rows, reconcile, summary
 from tallyloom.options import ReconOptions, ToleranceRule
 from tallyloom.plans.strategies import Exact, Fuzzy, Partial, default_pipeline, pipeline_from_names
 from tallyloom.schemas import RAW
@@ -231,3 +232,81 @@ def test_options_change_matches(spark):
     wide = ReconOptions(tolerance=ToleranceRule(1000, 10, 30))
     assert match(simple(spark, [100]), simple(spark, [600], start=5), wide).count() == 1
     assert match(simple(spark, [100]), simple(spark, [101], start=5), ReconOptions(tolerance=ToleranceRule.strict())).count() == 0
+
+
+def outcomes(report):
+    """Every row of a report by side, file and row number, with what became of it."""
+    found = Counter()
+    for r in report.unmatched.collect():
+        found[r["side"], r["source_file"], r["source_row_number"], r["reason"]] += 1
+    for side, kept in (("S", report.sources), ("T", report.targets)):
+        by = {r["ordinal"]: r for r in kept.collect()}
+        for p in report.pairs.collect():
+            r = by[p[f"{side.lower()}_id"]]
+            found[side, r["source_file"], r["source_row_number"], p["strategy"]] += 1
+    return found
+
+
+def test_row_numbers_repeat_between_files(spark):
+    s = raw(spark, {"source_file": "a", "row_number": 1}, {"source_file": "b", "row_number": 1, "reference": "other"})
+    t = raw(spark, {"source_file": "a", "row_number": 1}, {"source_file": "c", "row_number": 1, "reference": "third"})
+    report = reconcile(s, t)
+    assert outcomes(report) == Counter({("S", "a", 1, "Exact"): 1, ("S", "b", 1, "MissingInTarget"): 1, ("T", "a", 1, "Exact"): 1, ("T", "c", 1, "MissingInSource"): 1})
+    assert {r["reason"]: r["n"] for r in report.reasons.collect()} == {"MissingInTarget": 1, "MissingInSource": 1}
+
+
+@pytest.mark.parametrize("number", [None, 7])
+def test_rows_without_own_numbers_are_kept_apart(spark, number):
+    rows = [{"row_number": number, "amount": f"{a}.00"} for a in (10, 10, 500, 900)]
+    told = []
+    report = reconcile(raw(spark, *rows), raw(spark, *rows[:3], {"row_number": number, "amount": "x"}), watch=told.append)
+    one = report.summary.first()
+    assert (one["total_source"], one["total_target"], one["matched"], one["unmatched_source"], one["skipped_rows"], one["dead_letter_files"]) == (4, 3, 3, 1, 1, 1)
+    assert report.unmatched.count() == 1 and report.pairs.select("s_id").distinct().count() == 3
+    assert [(p.step, p.percent) for p in told] == [("normalize", 33.33), ("match", 66.67), ("classify", 100.0)]
+    assert error_rows(report.rejects).first()["error_type"] == "InvalidAmount"
+
+
+def test_ids_decide_in_a_match(spark):
+    shape = "txn_id string, " + SHAPE
+    s = spark.createDataFrame([("s1", "A", "EUR", 1, D(5), DAY), ("s2", "B", "EUR", 1, D(5), DAY), ("s3", "A", "EUR", None, D(7), DAY)], shape)
+    t = spark.createDataFrame([("t1", "A", "EUR", 1, D(5), DAY), ("t2", "A", "EUR", 1, D(7), DAY)], shape)
+    for most in (4096, 0):
+        pairs = match(s, t, fold_most=most)
+        assert sorted((r["s_id"], r["t_id"]) for r in pairs.collect()) == [("s1", "t1"), ("s3", "t2")]
+        assert [r["txn_id"] for r in unmatched_sources(s, pairs).collect()] == ["s2"] and unmatched_targets(t, pairs).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_large_bucket_in_rounds(spark, seed):
+    """A contended bucket cut into cells, with amounts and dates that overlap from cell to cell, takes turns as one."""
+    rng = random.Random(seed)
+    make = lambda n, start: [("A", "EUR", start + i, D(rng.choice([rng.randrange(900, 1100), rng.randrange(-300, 300), 5, 50, 1000])) + D(rng.choice(["0", "0.50"])), DAY + timedelta(rng.randrange(9))) for i in range(n)]
+    s, t = make(150, 0), make(140, 1000)
+    s += [("A", "EUR", 200 + i, D("77.70"), DAY) for i in range(20)]
+    t += [("A", "EUR", 2000 + i, D("77.70"), DAY) for i in range(15)]
+    got = match(frame(spark, s), frame(spark, t), O, None, 0).select("s_ordinal", "t_ordinal", "strategy").collect()
+    assert sorted(map(tuple, got)) == sequential(s, t, ["Exact", "Fuzzy", "Partial"])
+    odd = ReconOptions(tolerance=ToleranceRule(0, 2, 0))
+    folded = match(frame(spark, s), frame(spark, t), odd).select("s_ordinal", "t_ordinal", "strategy", "score").collect()
+    cells = match(frame(spark, s), frame(spark, t), odd, None, 0).select("s_ordinal", "t_ordinal", "strategy", "score").collect()
+    assert sorted(map(tuple, folded)) == sorted(map(tuple, cells))
+
+
+def test_divisors():
+    rng = random.Random(1)
+    for n in [0, 1, 2, 9973 * 9967, 999983 * 999979, 10**12, *(rng.randrange(1, 5000) for _ in range(50))]:
+        found = divisors(n)
+        assert len(found) == len(set(found)) and all(n % d == 0 for d in found)
+        assert n > 5000 or sorted(found) == [d for d in range(1, n + 1) if n % d == 0]
+
+
+def test_any_session_zone(spark, rows_of):
+    rows = raw(spark, {"value_date": "2024-01-15"}, {"value_date": "2024-01-15T23:30:00"}, {"value_date": "15 Jan 2024"}, {"value_date": "2024-01-15 23:30"}, {"value_date": "2024-01-15T01:00:00+02:00"})
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Pacific/Auckland")
+        got = normalize(rows)[0].select("source_row_number", F.col("value_date").cast("string")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert sorted(map(tuple, got)) == [(0, "2024-01-15"), (1, "2024-01-15"), (2, "2024-01-15"), (3, "2024-01-15"), (4, "2024-01-14")]
