@@ -216,8 +216,10 @@ def _end_to_end(t: Tables) -> DataFrame:
     for side, rows in (("source", s), ("target", g)):
         _as_raw(spread(rows), f"{side}.csv").write.option("header", True).csv(f"{folder}/{side}")
     report = reconcile(*[read_raw(s.sparkSession, f"{folder}/{side}", "Csv")[0] for side in ("source", "target")], OPTIONS)
-    labels = report.unmatched.select("ordinal", "ref", F.col("reason").alias("outcome"))
-    return labels.unionByName(report.pairs.select(F.col("s_ordinal").alias("ordinal"), "ref", F.concat(F.lit("Matched"), F.col("strategy")).alias("outcome")))
+    number = F.col("source_row_number").cast("bigint").alias("ordinal")
+    labels = report.unmatched.select(number, "ref", F.col("reason").alias("outcome"))
+    met = report.sources.select(F.col("ordinal").alias("s_id"), number).join(report.pairs, "s_id")
+    return labels.unionByName(met.select("ordinal", "ref", F.concat(F.lit("Matched"), F.col("strategy")).alias("outcome")))
 
 
 _TRIM = r"regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
