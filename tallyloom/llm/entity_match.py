@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-import re
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,16 +11,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.name_parts import apart, folded, name_parts
-from tallyloom.plans.shared import write_table
+from tallyloom.llm.name_parts import folded
+from tallyloom.llm.name_variants import spellings
+from tallyloom.llm.name_words import parsed_names, word_meanings
+from tallyloom.plans.shared import lookup, write_table
 
 ENTRY = ["entry_id", "ref", "currency", "amount", "value_ts", "description", "iban", "counterparty_name"]
-#: A payment's days on the statement against the house's, and its amount there as a part of the booked one.
-FIRST_DAY, LAST_DAY = -3, 7
-LEAST_RATIO, MOST_RATIO = 0.85, 1.15
-#: Both amounts count as so much larger before their ratio is taken, which leaves room for fixed fees on small ones.
-FEE_ROOM, MOST_FEE = 60.0, 12.0
-DAYS = LAST_DAY - FIRST_DAY
+
 #: Levels of each comparison; a pair's levels make its pattern, of which there are at most 5 * 4 * 6 * 4 * 4 * 3.
 LEVELS = {
     "number": ("same", "end", "swapped", "none", "other"),
@@ -32,7 +29,24 @@ LEVELS = {
 }
 #: Reviewed pairs that the start of the fit uses at most; by smallest ids.
 MOST_REVIEWED = 20_000
-_WORD = re.compile(r"[^\W\d_]{4,}")
+#: A beginning of words in so many of a side's texts, and this much rarer on the other, is that side's manner of speaking.
+COMMON_SHARE, ONE_SIDED = 0.01, 0.05
+
+
+@dataclass(frozen=True)
+class Window:
+    """How far two entries of one payment may lie apart: what defines a candidate, so other pairs have no score.
+
+    Days of the statement against the house's; the amount there as a part of the booked one, both taken as fee_room
+    larger, which leaves room for fixed fees on small ones; most_fee is such a fee.
+    """
+
+    first_day: int = -3
+    last_day: int = 7
+    least_ratio: float = 0.85
+    most_ratio: float = 1.15
+    fee_room: float = 60.0
+    most_fee: float = 12.0
 
 
 @dataclass(frozen=True)
@@ -43,26 +57,47 @@ class Fit:
     weights: dict[str, list[float]]
 
 
-def _readied(entries: DataFrame, id_name: str) -> DataFrame:
-    """Entries with what is compared: folded name and description, name proper, given names, document number."""
+def _named(book: DataFrame, lines: DataFrame) -> DataFrame:
+    """counterparty_name, core, given, n: each distinct name of both tables with its rare word (the longest) and the words it surely has besides, as learnt from all of them."""
+    both = book.select("counterparty_name").unionByName(lines.select("counterparty_name"))
+    names = write_table(parsed_names(both, "counterparty_name"), "entry-names")
+    spelt = spellings(names, word_meanings(names))
+    longest = F.array_max(F.transform("cores", lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"]
+    given = F.when(F.col("full"), F.split(F.expr("substring(ident, 3)"), " ")).otherwise(F.array().cast("array<string>"))
+    rows = both.where("counterparty_name is not null").groupBy(F.col("counterparty_name").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return write_table(spelt.select("name", longest.alias("core"), given.alias("given")).join(rows, "name").withColumnRenamed("name", "counterparty_name"), "name-words")
+
 
-    @F.pandas_udf("struct<core:string,given:array<string>,words:array<string>>")
-    def named(names: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for name, text in zip(names, texts, strict=True):
-            parts = name_parts(name)
-            core = max(parts[0].split(), key=len, default="") if parts else None
-            rows.append((core or None, parts[1] if parts else [], _WORD.findall(folded(text or ""))))
-        return pd.DataFrame(rows, columns=["core", "given", "words"])
+def _readied(entries: DataFrame, named: DataFrame, id_name: str) -> DataFrame:
+    """Entries with what is compared: rare word of the name and words besides, folded words of the description, document number."""
 
-    ok = entries.where(" and ".join(f"{c} is not null" for c in ("entry_id", "currency", "amount", "value_ts")) + " and amount <> 0")
+    @F.pandas_udf("string")
+    def plain(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else t.lower() if t.isascii() else folded(t))
+
+    ok = entries.where(" and ".join(f"{c} is not null" for c in ("entry_id", "currency", "amount", "value_ts")))
     digits = F.regexp_extract("description", r"(\d{5,})", 1)
     account = F.upper(F.regexp_replace("iban", r"\s+", ""))
-    rows = ok.select(*ENTRY).withColumn("n", named("counterparty_name", "description"))
-    return rows.select(
+    rows = lookup(ok.select(*ENTRY), named, ["counterparty_name"], ["core", "given"], F.col("entry_id"))
+    words = F.coalesce(F.regexp_extract_all(plain("description"), F.lit(r"(\p{L}{4,})"), F.lit(1)), F.array().cast("array<string>"))
+    made = rows.select(
         F.col("entry_id").alias(id_name), F.upper(F.trim("currency")).alias("currency"), F.col("amount").cast("double").alias("amount"), F.unix_micros("value_ts").alias("at"),
-        F.when(digits != "", digits).alias("number"), F.when(account != "", account).alias("account"), "n.core", "n.given", "n.words",
+        F.when(digits != "", digits).alias("number"), F.when(account != "", account).alias("account"), "core", F.coalesce("given", F.array().cast("array<string>")).alias("given"), words.alias("words"),
     )
+    return made.withColumn("starts", F.array_distinct(F.transform("words", lambda w: F.left(w, F.lit(4)))))
+
+
+def _without_manners(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables with starts less the beginnings of words that only one side's texts commonly use: at most a few hundred, as each is in a COMMON_SHARE of its texts."""
+    sides = left.select("starts", F.lit(0).alias("side")).unionByName(right.select("starts", F.lit(1).alias("side")))
+    n = {r["side"]: r["n"] for r in sides.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
+    per = sides.select(F.explode("starts").alias("w"), "side").groupBy("w").agg(F.count_if(F.col("side") == 0).alias("l"), F.count_if(F.col("side") == 1).alias("r"))
+    l, r = F.col("l") / max(n.get(0, 0), 1), F.col("r") / max(n.get(1, 0), 1)
+    own = [x["w"] for x in per.where((F.greatest(l, r) >= COMMON_SHARE) & (F.least(l, r) < ONE_SIDED * F.greatest(l, r))).select("w").collect()]
+    if not own:
+        return left, right
+    said = F.array(*map(F.lit, own))
+    return left.withColumn("starts", F.array_except("starts", said)), right.withColumn("starts", F.array_except("starts", said))
 
 
 def line_classes(statement: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -93,74 +128,65 @@ def _keys(rows: DataFrame, names: Column) -> DataFrame:
     return rows.withColumn("key", F.explode(F.array_distinct(F.concat(F.filter(made, lambda k: k.isNotNull()), named))))
 
 
-def candidate_pairs(book: DataFrame, lines: DataFrame) -> DataFrame:
+def candidate_pairs(book: DataFrame, lines: DataFrame, window: Window) -> DataFrame:
     """b, s: entries that agree in currency, nearly in day and amount, and in one more field.
 
     Blocks are of one currency, sign, stretch of days and class of amounts, so a party or account that holds a third of
     all entries still meets only what was paid about then and about so much.
     """
-    step = math.log(MOST_RATIO / LEAST_RATIO)
-    log = F.log(F.abs("amount") + FEE_ROOM)
+    step, width = math.log(window.most_ratio / window.least_ratio), window.last_day - window.first_day
+    log = F.log(F.abs("amount") + window.fee_room)
     day = F.col("at") / F.lit(86_400_000_000)
     place = lambda c, width: F.floor(c / F.lit(width)).cast("bigint")
     left = _keys(book, F.array(F.coalesce("core", F.lit(""))))
-    left = left.withColumn("t", F.explode(F.array_distinct(F.array(place(day + FIRST_DAY, DAYS), place(day + LAST_DAY, DAYS)))))
-    left = left.withColumn("m", F.explode(F.array_distinct(F.array(place(log + math.log(LEAST_RATIO), step), place(log + math.log(MOST_RATIO), step)))))
-    right = _keys(lines, F.array_union(F.array(F.coalesce("core", F.lit(""))), F.transform("words", lambda w: w))).withColumn("t", place(day, DAYS)).withColumn("m", place(log, step))
+    left = left.withColumn("t", F.explode(F.array_distinct(F.array(place(day + window.first_day, width), place(day + window.last_day, width)))))
+    left = left.withColumn("m", F.explode(F.array_distinct(F.array(place(log + math.log(window.least_ratio), step), place(log + math.log(window.most_ratio), step)))))
+    right = _keys(lines, F.array_union(F.array(F.coalesce("core", F.lit(""))), F.transform("words", lambda w: w))).withColumn("t", place(day, width)).withColumn("m", place(log, step))
     on = ["key", "currency", "sign", "t", "m"]
     left = left.withColumn("sign", F.signum("amount")).select("b", *on, F.col("at").alias("at_b"), F.col("amount").alias("am_b"))
     right = right.withColumn("sign", F.signum("amount")).select("s", *on, "at", "amount")
     days = (F.col("at") - F.col("at_b")) / F.lit(86_400_000_000)
-    near = days.between(FIRST_DAY, LAST_DAY) & ((F.abs("amount") + FEE_ROOM) / (F.abs("am_b") + FEE_ROOM)).between(LEAST_RATIO, MOST_RATIO)
+    near = days.between(window.first_day, window.last_day) & ((F.abs("amount") + window.fee_room) / (F.abs("am_b") + window.fee_room)).between(window.least_ratio, window.most_ratio)
     return left.join(right, on).where(near).select("b", "s").distinct()
 
 
-def _party(core: str | None, given: list[str], other: str | None, other_given: list[str], words: list[str]) -> int:
-    """Level of agreement of two parties; a statement without a name may hold the start of one in its text."""
-    if not core:
-        return 2
-    seen = [other] if other else [w for w in words if len(w) >= 5]
-    for near in (False, True):
-        for w in seen:
-            n = min(len(core), len(w))
-            cut = n >= 5 and core[:n] == w[:n]
-            if w == core or cut or (near and n >= 5 and (apart(core, w, 1) <= 1 or apart(core[:n], w[:n], 1) <= 1)):
-                clash = given is not None and len(given) and len(other_given) and not set(given) & set(other_given)
-                return 3 if clash else 1 if near or (not other) else 0
-    return 3 if other else 2
-
-
-def compared(pairs: DataFrame, book: DataFrame, lines: DataFrame) -> DataFrame:
-    """pairs with the level of each comparison."""
+def _same_name(core: Column, word: Column, near: bool) -> Column:
+    """Equal words, one cut off after five letters or more or, if near, with a slip or two."""
+    n = F.least(F.length(core), F.length(word))
+    if not near:
+        return (core == word) | ((n >= 5) & (F.left(core, n) == F.left(word, n)))
+    most = F.when(n >= 8, 2).otherwise(1)
+    slips = lambda x, y: F.levenshtein(x, y, 2).between(0, most)
+    return (n >= 5) & (slips(core, word) | slips(F.left(core, n), F.left(word, n)))
 
-    @F.pandas_udf("int")
-    def party(core: pd.Series, given: pd.Series, other: pd.Series, other_given: pd.Series, words: pd.Series) -> pd.Series:
-        return pd.Series([_party(a, list(g), o, list(h), list(w)) for a, g, o, h, w in zip(core, given, other, other_given, words, strict=True)], dtype="int32")
 
-    @F.pandas_udf("int")
-    def purpose(words: pd.Series, others: pd.Series) -> pd.Series:
-        def level(a: list[str], b: list[str]) -> int:
-            a = [w for w in a if w not in ("invoice",)]
-            if not a or not b:
-                return 1
-            return 0 if any(x[:4] == y[:4] for x in a for y in b) else 2
+def _party() -> Column:
+    """Level of agreement of two parties; a statement without a name may hold the start of one in its text."""
+    seen = F.when(F.col("core").isNotNull(), F.array("core")).otherwise(F.filter("words", lambda w: F.length(w) >= 5))
+    clash = (F.size("gi_b") > 0) & (F.size("given") > 0) & ~F.arrays_overlap("gi_b", "given")
+    level = F.when(F.exists(seen, lambda w: _same_name(F.col("co_b"), w, False)), F.when(F.col("core").isNotNull(), 0).otherwise(1))
+    level = level.when(F.exists(seen, lambda w: _same_name(F.col("co_b"), w, True)), 1)
+    found = F.when(clash & level.otherwise(-1).isin(0, 1), 3).otherwise(level.when(F.col("core").isNotNull(), 3).otherwise(2))
+    return F.when(F.col("co_b").isNull(), 2).otherwise(found)
 
-        return pd.Series([level(list(a), list(b)) for a, b in zip(words, others, strict=True)], dtype="int32")
 
-    left = book.select("b", F.col("at").alias("at_b"), F.col("amount").alias("am_b"), F.col("number").alias("no_b"), F.col("account").alias("ac_b"), F.col("core").alias("co_b"), F.col("given").alias("gi_b"), F.col("words").alias("wo_b"))
+def compared(pairs: DataFrame, book: DataFrame, lines: DataFrame, window: Window) -> DataFrame:
+    """pairs with the level of each comparison."""
+    purpose = F.when((F.size("st_b") == 0) | (F.size("starts") == 0), 1).when(F.arrays_overlap("st_b", "starts"), 0).otherwise(2)
+    left = book.select("b", F.col("at").alias("at_b"), F.col("amount").alias("am_b"), F.col("number").alias("no_b"), F.col("account").alias("ac_b"), F.col("core").alias("co_b"), F.col("given").alias("gi_b"), F.col("starts").alias("st_b"))
     met = pairs.join(left, "b").join(lines, "s")
     a, b = F.col("no_b"), F.col("number")
     end = (F.least(F.length(a), F.length(b)) >= 5) & (F.length(a) != F.length(b)) & (F.when(F.length(a) > F.length(b), a.endswith(b)).otherwise(b.endswith(a)))
     swapped = (_sorted_digits(a) == _sorted_digits(b)) | ((F.length(a) != F.length(b)) & (_sorted_digits(F.right(a, F.lit(5))) == _sorted_digits(F.right(b, F.lit(5)))))
     number = F.when(a.isNull() | b.isNull(), 3).when(a == b, 0).when(end, 1).when(swapped, 2).otherwise(4)
-    ratio, gap = F.col("amount") / F.col("am_b"), F.abs(F.col("amount") - F.col("am_b"))
-    money = F.when(gap < 0.005, 0).when((gap < 0.055) | (F.abs(ratio - 1) < 0.0003), 1).when((ratio < 1) & ((ratio > 0.9) | (gap < MOST_FEE)), 2).otherwise(3)
+    ratio, gap = F.try_divide("amount", "am_b"), F.abs(F.col("amount") - F.col("am_b"))
+    money = F.when(gap < 0.005, 0).when((gap < 0.055) | (F.abs(ratio - 1) < 0.0003), 1).when((ratio < 1) & ((ratio > 0.9) | (gap < window.most_fee)), 2).otherwise(3)
     gone = (F.col("at") - F.col("at_b")) / F.lit(86_400_000_000)
     days = F.when(gone < 0, F.when(gone > -1.5, 0).otherwise(5)).when(gone < 1, 1).when(gone < 2, 2).when(gone < 3, 3).when(gone < 4.5, 4).otherwise(5)
     p, q = F.col("ac_b"), F.col("account")
     hidden = q.contains("*") & (F.left(p, F.lit(2)) == F.left(q, F.lit(2))) & (F.right(p, F.lit(4)) == F.right(q, F.lit(4))) & (F.length(p) == F.length(q))
     account = F.when(p.isNull() | q.isNull(), 2).when(p == q, 0).when(hidden, 1).otherwise(3)
-    return met.select("b", "s", number.alias("number"), money.alias("money"), days.alias("days"), account.alias("account"), party("co_b", "gi_b", "core", "given", "words").alias("party"), purpose("wo_b", "words").alias("purpose"))
+    return met.select("b", "s", number.alias("number"), money.alias("money"), days.alias("days"), account.alias("account"), _party().alias("party"), purpose.alias("purpose"))
 
 
 def fit(patterns: pd.DataFrame, reviewed: pd.DataFrame, rounds: int = 200) -> Fit:
@@ -189,12 +215,13 @@ def fit(patterns: pd.DataFrame, reviewed: pd.DataFrame, rounds: int = 200) -> Fi
     return Fit(math.log(share / (1 - share)), {k: np.log(m[k] / u[k]).tolist() for k in names})
 
 
-def propagate(pairs: DataFrame, most_rounds: int = 30, tolerance: float = 1e-4) -> DataFrame:
+def propagate(pairs: DataFrame, most_rounds: int = 200, tolerance: float = 1e-4) -> DataFrame:
     """b, s, p: marginal probability of each candidate pair (b, s, odds), each entry being in one pair at most.
 
     Loopy belief propagation: an entry tells each of its pairs how free it is, 1 / (1 + what its other pairs weigh), from
     what the entries at their other ends told it. Messages pass through joins with each entry's sum, a
-    partial aggregate, so no entry's pairs are gathered; rounds end when no probability moves by tolerance.
+    partial aggregate, so no entry's pairs are gathered; rounds end when no probability moves by tolerance. For
+    one-to-one factors they converge; should probabilities still move after most_rounds, a warning says so.
     """
     now = pairs.select("b", "s", F.least(F.exp("odds"), F.lit(1e13)).alias("w")).withColumns({"x": F.lit(1.0), "y": F.lit(1.0), "p": F.lit(0.0)})
     now = write_table(now, "beliefs")
@@ -209,22 +236,27 @@ def propagate(pairs: DataFrame, most_rounds: int = 30, tolerance: float = 1e-4)
         now = after.drop("moved")
         if moved is None or moved < tolerance:
             break
+    else:
+        warnings.warn(f"probabilities still move by {moved:.2g} after {most_rounds} rounds", stacklevel=2)
     return now.select("b", "s", "p")
 
 
-def matched_entries(book: DataFrame, statement: DataFrame, reviewed: DataFrame) -> DataFrame:
+def matched_entries(book: DataFrame, statement: DataFrame, reviewed: DataFrame, window: Window | None = None) -> DataFrame:
     """book_entry_id, stmt_entry_id, score: all candidate pairs with the probability that they record the same payment.
 
     Reviewed pairs (source_id, target_id, score) have the score they were given, whether candidates or not. Each book
     entry is in one pair at most and so is each statement line; a line that stands twice on the statement is one line, and
-    all its entries share its scores. Entries without id, currency, amount or time, or with amount zero, have no
-    candidates; null descriptions, accounts and names count for and against nothing. Empty tables leave the
-    reviewed pairs.
+    all its entries share its scores. Entries without id, currency, amount or time have no candidates; null
+    descriptions, accounts and names count for and against nothing. window says how far apart candidates may lie. What
+    the words of names mean is learnt from both tables. Empty tables leave the reviewed pairs.
     """
+    window = window or Window()
     lines, members = line_classes(statement)
     members = write_table(members, "line-members")
-    left, right = write_table(_readied(book.dropDuplicates(["entry_id"]), "b"), "book"), write_table(_readied(lines, "s"), "lines")
-    levels = write_table(compared(candidate_pairs(left, right), left, right), "levels")
+    named = _named(book, lines)
+    left, right = write_table(_readied(book.dropDuplicates(["entry_id"]), named, "b"), "book"), write_table(_readied(lines, named, "s"), "lines")
+    left, right = _without_manners(left, right)
+    levels = write_table(compared(candidate_pairs(left, right, window), left, right, window), "levels")
     counts = levels.groupBy(*LEVELS).agg(F.count(F.lit(1)).alias("n")).toPandas()
     known = reviewed.where("source_id is not null and target_id is not null and score is not null")
     right_pairs = known.where("score >= 0.5").join(members, known["target_id"] == members["entry_id"]).select(F.col("source_id").alias("b"), F.col("line").alias("s")).distinct().orderBy("b", "s").limit(MOST_REVIEWED)

@@ -1,4 +1,4 @@
-"""Names of parties, taken apart: given names, business words, legal forms and what is left, the name proper."""
+"""Names of parties as words: without marks, legal forms and words that say nothing. What the words mean is learnt elsewhere."""
 
 from __future__ import annotations
 
@@ -6,35 +6,10 @@ import re
 import unicodedata
 from functools import lru_cache
 
-# Given names with the short and foreign forms under which the same person may write.
-GIVEN = {
-    "alexander": "alex sandy sascha xander lex",
-    "antonia": "toni nia tonia antonie",
-    "benjamin": "ben benny benji",
-    "christopher": "chris kit topher christoph",
-    "dorothea": "dora dory dorothy thea dot",
-    "edward": "ed ned ted teddy eddie eduard",
-    "elizabeth": "beth liz lizzy betty eliza elisabeth elsa",
-    "francisco": "paco fran frank francis pancho curro franco",
-    "friedrich": "fritz fred freddy frederick frederic",
-    "gertrude": "trudi trudy gerti gerty gertrud",
-    "johannes": "joh hans jan john jo johann hannes",
-    "josephine": "jo josie josefine fifi",
-    "katherine": "kate kathy kit katie catherine kath kitty",
-    "lawrence": "larry lars laurie lorenz laurence",
-    "margaret": "peggy maggie meg greta marge margarete",
-    "michael": "mick mike micky michel mischa",
-    "nicholas": "nick klaus nico nicky nikolaus claus",
-    "richard": "dick rick richie ricky rich",
-    "robert": "bob rob bobby bert robbie",
-    "susanna": "sue susi susan susie suzy susanne",
-    "theodora": "thea dora theo teddy",
-    "william": "bill will willy billy wilhelm liam",
-}
-# Common words of business names, and words before or around names that say nothing.
-BUSINESS = ("brothers", "chemicals", "company", "construction", "consulting", "energy", "engineering", "foods", "group", "holdings", "industries", "international", "logistics", "management", "manufacturing", "partners", "pharmaceuticals", "services", "shipping", "sons", "systems", "technologies", "trading", "transport")
-SHORT_BUSINESS = {"co": "company", "cie": "company", "bros": "brothers", "gebr": "brothers", "svc": "services", "svcs": "services", "mfg": "manufacturing", "intl": "international", "trspt": "transport", "tech": "technologies"}
-EMPTY = frozenset("the a and und et y e i dr mr mrs ms prof herr frau sir messrs".split()) - {"a", "e", "i", "y"}
+#: Words of fewer letters aren't taken for misspellings of one another.
+SHORTEST = 4
+# Articles, conjunctions and forms of address.
+EMPTY = frozenset("the and und et dr mr mrs ms prof herr frau sir messrs".split())
 # Legal forms and how they are written, dots and blanks aside.
 LEGAL = {
     "ag": ("aktiengesellschaft", "ag"),
@@ -54,10 +29,6 @@ LEGAL = {
 LEGAL_OF = {w: k for k, ws in LEGAL.items() for w in ws}
 # What is written where a name isn't known.
 NOBODY = frozenset("unknown various none null nil na tbd tba anonymous unnamed misc miscellaneous diverse divers unbekannt inconnu onbekend desconocido sconosciuto cash test notprovided notavailable notapplicable noname several multiple seebelow".split())
-GIVEN_OF: dict[str, frozenset[str]] = {}
-for _name, _short in GIVEN.items():
-    for _w in (_name, *_short.split()):
-        GIVEN_OF[_w] = GIVEN_OF.get(_w, frozenset()) | {_name}
 _DOTTED = re.compile(r"\b(\w)\.\s?(?=\w\b)")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -66,52 +37,18 @@ def folded(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
 
 
-def apart(a: str, b: str, most: int) -> int:
-    """Edits from a to b (insertions, deletions, changes, swaps of neighbours), or most + 1 if they are more."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, row = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        older, before, row = before, row, [i]
-        for j, y in enumerate(b, 1):
-            d = min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y))
-            if older and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, older[j - 2] + 1)
-            row.append(d)
-        if min(row) > most:
-            return most + 1
-    return min(row[-1], most + 1)
-
-
-def _subsequence(short: str, word: str) -> bool:
-    rest = iter(word)
-    return all(c in rest for c in short)
-
-
-@lru_cache(200_000)
-def business_word(token: str) -> str | None:
-    """The business word that a token writes, abbreviates (same first letter, letters in order) or misspells by one edit."""
-    if token in BUSINESS:
-        return token
-    if token in SHORT_BUSINESS:
-        return SHORT_BUSINESS[token]
-    if 3 <= len(token) <= 6:
-        found = [w for w in BUSINESS if w[0] == token[0] and len(w) > len(token) and _subsequence(token, w) and (w.startswith(token) or sum(c in "aeiou" for c in token) <= len(token) // 4 or w.startswith(token.rstrip("s")))]
-        if len(found) == 1 or (found and len({w for w in found if w.startswith(token)}) == 1):
-            return next((w for w in found if w.startswith(token)), found[0])
-    if len(token) >= 4:
-        return next((w for w in BUSINESS if len(w) >= 5 and w[0] == token[0] and apart(token, w, 1) == 1), None)
-    return None
-
-
-@lru_cache(200_000)
-def given_names(token: str) -> frozenset[str]:
-    """The given names that a token may stand for: its own forms, or a full name misspelt by one edit."""
-    if token in GIVEN_OF:
-        return GIVEN_OF[token]
-    if len(token) >= 5:
-        return frozenset(w for w in GIVEN if apart(token, w, 1) == 1)
-    return frozenset()
+def one_edit(a: str, b: str) -> bool:
+    """Whether one insertion, deletion, change or swap of neighbours turns a into b, or they are equal; in time linear in their length."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    i, most = 0, min(len(a), len(b))
+    while i < most and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < most - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    x, y = a[i : len(a) - j], b[i : len(b) - j]
+    return max(len(x), len(y)) <= 1 or (len(x) == 2 and x == y[::-1])
 
 
 @lru_cache(50_000)
@@ -119,15 +56,15 @@ def legal_form(token: str) -> str | None:
     if token in LEGAL_OF:
         return LEGAL_OF[token]
     if len(token) >= 6:
-        return next((k for w, k in LEGAL_OF.items() if len(w) >= 6 and apart(token, w, 1) == 1), None)
+        return next((k for w, k in LEGAL_OF.items() if len(w) >= 6 and one_edit(token, w)), None)
     return None
 
 
-def name_parts(text: str | None) -> tuple[str, list[str], str, str] | None:
-    """(core, given, initial, kind): the name proper, the given names it may have, the initial it has instead, and business words with legal form.
+def name_words(text: str | None) -> tuple[list[str], list[str], str] | None:
+    """(words, initials, legal form) of a name in order, without accents and case, each word once; '' for no legal form.
 
-    core is the remaining words, sorted, without accents; kind is 'legal form:business words' for firms, '' for persons.
-    None for fill-in values that name nobody and for texts without letters.
+    Dots between letters close up (S.A. is sa), apostrophes go, so do words that say nothing; a single letter is an
+    initial. None for fill-in values that name nobody and for texts without letters.
     """
     if not text:
         return None
@@ -135,7 +72,7 @@ def name_parts(text: str | None) -> tuple[str, list[str], str, str] | None:
     tokens = _WORD.findall(plain)
     if "".join(tokens) in NOBODY or not any(t.isalpha() for t in tokens):
         return None
-    legal, i, rest = None, 0, []
+    legal, i, rest = "", 0, []
     while i < len(tokens):
         for n in (4, 3, 2, 1):
             joined = "".join(tokens[i : i + n])
@@ -145,46 +82,32 @@ def name_parts(text: str | None) -> tuple[str, list[str], str, str] | None:
         else:
             rest.append(tokens[i])
             i += 1
-    rest = [t for t in rest if t not in EMPTY]
-    business = sorted({b for t in rest if (b := business_word(t))})
-    firm = bool(legal or business)
-    if firm:
-        core = [t for t in rest if not business_word(t)]
-        if not core:
-            core, business = rest, []
-        return " ".join(sorted(core)), [], "", f"{legal or ''}:{' '.join(business)}"
-    words = [t for t in rest if len(t) > 1]
-    named = [t for t in words if given_names(t)]
-    if len(named) == len(words) and len(words) > 1:
-        exact = [t for t in named if t in GIVEN_OF] or named
-        named = exact[:1]
-    elif len(words) == 1:
-        named = []
-    first = named[0] if named else None
-    core = [t for t in words if t != first]
-    letters = [t for t in rest if len(t) == 1]
-    return " ".join(sorted(core or rest)), sorted(given_names(first)) if first else [], "" if first or not letters else letters[0], ""
-
-
-def gram_sizes(core: str) -> set[int]:
-    """The lengths q of runs by which cores one edit apart must be found: one edit spoils at most q + 1 of the runs of q letters.
-
-    Longer cores take longer, more telling runs; a core takes part for its own length and for the next shorter one,
-    so a pair of lengths n and n + 1 shares the size for n.
-    """
-    return {5 if n >= 9 else 4 if n >= 7 else 3 if n >= 5 else 2 for n in (len(core), len(core) - 1)}
+    kept = [t for t in dict.fromkeys(rest) if t not in EMPTY]
+    words = [t for t in kept if len(t) > 1]
+    if not words:
+        return (kept or tokens, [], legal)
+    return words, [t for t in kept if len(t) == 1], legal
+
+
+def abbreviates(short: str, word: str) -> bool:
+    """Whether short may stand for word: same first letter and its letters in order, two thirds of it at most if they are its beginning."""
+    if len(short) < 2 or len(short) >= len(word) or short[0] != word[0]:
+        return False
+    if word.startswith(short):
+        return 3 * len(short) <= 2 * len(word)
+    rest = iter(word)
+    return len(short) > 2 and all(c in rest for c in short)
 
 
-def grams(core: str) -> list[str]:
-    """The distinct runs of letters of a core, its ends marked, each with its size."""
-    padded = f"<{core}>"
-    return sorted({f"{q}{padded[i : i + q]}" for q in gram_sizes(core) for i in range(len(padded) - q + 1)})
+def resembles(short: str, word: str) -> bool:
+    """abbreviates, or four letters in a row in common."""
+    return abbreviates(short, word) or any(short[i : i + 4] in word for i in range(len(short) - 3))
 
 
 def similarity(a: str, b: str) -> float:
-    """1 for equal cores, a little less for cores of five letters or more one edit apart, else 0."""
+    """1 for equal words, less for words of SHORTEST letters or more one edit apart, the less the shorter they are, else 0."""
     if a == b:
         return 1.0
-    if min(len(a), len(b)) < 5 or apart(a, b, 1) > 1:
+    if min(len(a), len(b)) < SHORTEST or not one_edit(a, b):
         return 0.0
     return 1.0 - 1.0 / max(len(a), len(b))
