@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.divisors import divisors
 from tallyloom.operators.turns import LAST, NO_DAY, Pool, score_of, take_turns
 from tallyloom.options import ReconOptions, ToleranceRule
-from tallyloom.plans.shared import write_table
+from tallyloom.plans.shared import drop_table, write_table
 from tallyloom.plans.strategies import MatchStrategy, Partial
 
 KEY = ["ref", "currency"]
@@ -115,6 +115,7 @@ def matched_in_cells(s: DataFrame, t: DataFrame, pipeline: Sequence[MatchStrateg
             seen = targets.join(first, [*KEY, "id"], "left").select(*targets.columns, F.col("h.g").alias("h_g"), F.col("h.s_ordinal").alias("h_ordinal"), F.col("h.s_id").alias("h_id"))
         after = write_table(sources.groupBy("g").cogroup(seen.groupBy("g")).applyInPandas(settle, claim), "claims")
         now = tuple(after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("s_id", "t_id", "strategy").cast("decimal(38,0)"))).first())
+        drop_table(claims)
         claims = after
         if now == mark:
             break

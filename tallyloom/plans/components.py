@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.plans.shared import write_table
+from tallyloom.plans.shared import drop_table, write_table
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -27,6 +27,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(hung.select("u", F.col("m").alias("v"))).distinct()
         after = write_table(small, "component-edges")
         same = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        drop_table(now)
         now = after
         if same:
             break

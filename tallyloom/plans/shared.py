@@ -34,7 +34,20 @@ def write_table(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def drop_table(table: DataFrame | None) -> None:
+    """Deletes what write_table wrote for table itself, for loops that need only their last table; other frames are left alone."""
+    if path := getattr(table, "_written_at", None):
+        _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _own_folder(spark: SparkSession) -> str:
@@ -43,8 +56,7 @@ def _own_folder(spark: SparkSession) -> str:
 
 def drop_tables(spark: SparkSession) -> None:
     """Deletes the tables this application has written; frames that were made from them can't be read afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _own_folder(spark))
 
 
 def spread(df: DataFrame) -> DataFrame:
