@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.name_parts import folded
 from tallyloom.llm.name_variants import spellings
 from tallyloom.llm.name_words import parsed_names, word_meanings
-from tallyloom.plans.shared import lookup, write_table
+from tallyloom.plans.shared import drop_table, lookup, write_table
 
 ENTRY = ["entry_id", "ref", "currency", "amount", "value_ts", "description", "iban", "counterparty_name"]
 
@@ -224,7 +224,7 @@ def propagate(pairs: DataFrame, most_rounds: int = 200, tolerance: float = 1e-4)
     one-to-one factors they converge; should probabilities still move after most_rounds, a warning says so.
     """
     now = pairs.select("b", "s", F.least(F.exp("odds"), F.lit(1e13)).alias("w")).withColumns({"x": F.lit(1.0), "y": F.lit(1.0), "p": F.lit(0.0)})
-    now = write_table(now, "beliefs")
+    table = now = write_table(now, "beliefs")
     for _ in range(most_rounds):
         of_b = now.groupBy("b").agg(F.sum(F.col("w") * F.col("y")).alias("sb"))
         told = now.join(of_b, "b").withColumn("x", 1 / (1 + F.greatest(F.lit(0.0), F.col("sb") - F.col("w") * F.col("y")))).drop("sb")
@@ -233,7 +233,8 @@ def propagate(pairs: DataFrame, most_rounds: int = 200, tolerance: float = 1e-4)
         odds = F.col("w") * F.col("x") * F.col("y")
         after = write_table(both.select("b", "s", "w", "x", "y", (odds / (1 + odds)).alias("p"), F.abs(odds / (1 + odds) - F.col("p")).alias("moved")), "beliefs")
         moved = after.agg(F.max("moved")).first()[0]
-        now = after.drop("moved")
+        drop_table(table)
+        table, now = after, after.drop("moved")
         if moved is None or moved < tolerance:
             break
     else:

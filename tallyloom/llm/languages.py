@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -14,15 +15,24 @@ from pyspark.sql import functions as F
 from tallyloom.llm.mail import text_bodies
 from tallyloom.plans.shared import spread, write_table
 
-LANGUAGES = ("de", "en", "es", "fr", "it", "nl")
-#: Other codes and names of these languages.
+#: Codes and names of languages as labels write them.
 CODES = {
+    "cs": ("cs", "ces", "cze", "czech", "čeština"),
+    "da": ("da", "dan", "danish", "dansk"),
     "de": ("de", "deu", "ger", "german", "deutsch"),
     "en": ("en", "eng", "english"),
     "es": ("es", "spa", "spanish", "español"),
     "fr": ("fr", "fra", "fre", "french", "français"),
     "it": ("it", "ita", "italian", "italiano"),
+    "fi": ("fi", "fin", "finnish", "suomi"),
+    "hu": ("hu", "hun", "hungarian", "magyar"),
     "nl": ("nl", "nld", "dut", "dutch", "nederlands"),
+    "no": ("no", "nor", "nb", "nob", "norwegian", "norsk"),
+    "pl": ("pl", "pol", "polish", "polski"),
+    "pt": ("pt", "por", "portuguese", "português"),
+    "ro": ("ro", "ron", "rum", "romanian", "română"),
+    "sv": ("sv", "swe", "swedish", "svenska"),
+    "tr": ("tr", "tur", "turkish", "türkçe"),
 }
 CODE_OF = {code: lang for lang, codes in CODES.items() for code in codes}
 #: Labelled documents that the models are fitted on, about; the choice is by hash of the id.
@@ -38,7 +48,10 @@ PART_WORDS, PART_CONFIDENCE = 8, 0.9
 #: Characters of text that are worked on at a time within a task; a longer document stands alone.
 CHUNK_CHARS = 2_000_000
 MOST_CACHED = 400_000
-ROUNDS = 8
+#: A language is told apart if so many of the labelled documents bear it.
+LEAST_LABELLED = 0.002
+#: Proportions are fitted until none moves by so much, in this many rounds at most.
+TOLERANCE, MOST_ROUNDS = 1e-3, 500
 _TOKEN = re.compile(r"[^\W_]+")
 _QUOTE = re.compile(r"[>\s|]*")
 _END = re.compile(r"(?<=[.!?])[\"'»”)\]]*\s+")
@@ -99,10 +112,13 @@ def features(word: str) -> tuple[int, list[int]]:
 class Models:
     """Log likelihoods of words under each language, relative to the background of all languages."""
 
-    def __init__(self, words: np.ndarray, triples: np.ndarray):
-        self.tables = [self._table(words), self._table(triples)]
+    def __init__(self, words: np.ndarray, triples: np.ndarray, languages: list[str]):
+        self.tables, self.languages = [self._table(words), self._table(triples)], languages
+        self._forget()
+
+    def _forget(self) -> None:
         self.rows: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(LANGUAGES)), "float32")
+        self.scores = np.zeros((1024, len(self.languages)), "float32")
 
     @staticmethod
     def _table(counts: np.ndarray) -> np.ndarray:
@@ -112,10 +128,11 @@ class Models:
         return np.log((counts + PRIOR * background[:, None] * 1000) / (total + PRIOR * 1000) / background[:, None]).astype("float32")
 
     def __getstate__(self) -> dict:
-        return {"tables": self.tables}
+        return {"tables": self.tables, "languages": self.languages}
 
     def __setstate__(self, state: dict) -> None:
-        self.tables, self.rows, self.scores = state["tables"], {}, np.zeros((1024, len(LANGUAGES)), "float32")
+        self.tables, self.languages = state["tables"], state["languages"]
+        self._forget()
 
     def of_words(self, words: list[str]) -> np.ndarray:
         """Row numbers in scores; the words' scores are computed once and kept."""
@@ -135,12 +152,12 @@ class Models:
     def likelihoods(self, docs: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For all sentences of docs in a row: log likelihoods, document number, words."""
         if len(self.rows) > MOST_CACHED:
-            self.rows, self.scores = {}, np.zeros((1024, len(LANGUAGES)), "float32")
+            self._forget()
         flat = [s for d in docs for s in d]
         owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
         n = np.array([len(s) for s in flat], "int64")
         if not len(n):
-            return np.zeros((0, len(LANGUAGES))), owner, n
+            return np.zeros((0, len(self.languages))), owner, n
         rows = self.of_words([w for s in flat for w in s])
         return np.add.reduceat(self.scores[rows], np.concatenate([[0], np.cumsum(n)[:-1]])).astype("float64"), owner, n
 
@@ -149,7 +166,7 @@ def mixture(like: np.ndarray, owner: np.ndarray, n: np.ndarray, docs: int) -> tu
     """(proportions of each document's languages, posteriors of each sentence's) by expectation-maximisation.
 
     Each round takes sentences' posteriors under their document's proportions, then proportions from the posteriors by
-    words. Languages whose removal costs a document less than PENALTY are then dropped, the least useful first, until
+    words, until no proportion moves. Languages whose removal costs a document less than PENALTY are then dropped, the least useful first, until
     each that is left earns its place, and the proportions are fitted anew.
     """
     k = like.shape[1]
@@ -159,11 +176,15 @@ def mixture(like: np.ndarray, owner: np.ndarray, n: np.ndarray, docs: int) -> tu
 
     def fit(allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         share = allowed / allowed.sum(1, keepdims=True)
-        for _ in range(ROUNDS):
+        moved, rounds = 1.0, 0
+        while moved >= TOLERANCE and rounds < MOST_ROUNDS:
             post = share[owner] * weight
             post /= np.maximum(post.sum(1, keepdims=True), 1e-300)
-            share = np.stack([np.bincount(owner, post[:, j] * n, docs) for j in range(k)], 1) + 1e-3 * allowed
-            share /= share.sum(1, keepdims=True)
+            now = np.stack([np.bincount(owner, post[:, j] * n, docs) for j in range(k)], 1) + 1e-3 * allowed
+            now /= now.sum(1, keepdims=True)
+            moved, share, rounds = np.abs(now - share).max(initial=0.0), now, rounds + 1
+        if moved >= TOLERANCE:
+            warnings.warn(f"proportions still move by {moved:.2g} after {rounds} rounds", stacklevel=2)
         return share, post
 
     share, post = fit(allowed)
@@ -216,11 +237,11 @@ def _counted(docs: list[list[list[str]]], langs: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["kind", "bucket", "lang", "n"])
 
 
-def _models(counted: DataFrame) -> Models:
-    tables = [np.zeros((WORDS, len(LANGUAGES))), np.zeros((TRIPLES, len(LANGUAGES)))]
+def _models(counted: DataFrame, languages: list[str]) -> Models:
+    tables = [np.zeros((WORDS, len(languages))), np.zeros((TRIPLES, len(languages)))]
     for r in counted.groupBy("kind", "bucket", "lang").agg(F.sum("n").alias("n")).toLocalIterator():
         tables[r["kind"]][r["bucket"], r["lang"]] = r["n"]
-    return Models(*tables)
+    return Models(*tables, languages)
 
 
 def code_of(label: str | None) -> str | None:
@@ -231,28 +252,31 @@ def code_of(label: str | None) -> str | None:
 def fit_models(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Models:
     """Models fitted on about sample_docs labelled documents of docs (id, lang, text), chosen by hash of the id.
 
-    Labels are taken as they are at first; then each sentence of the sample is assigned its language by the first
+    The languages are those that LEAST_LABELLED of the labelled documents bear. Labels are taken as they are at first; then each sentence of the sample is assigned its language by the first
     models, and the second models are counted from those, which clears wrong labels and mixed documents. What comes
     to the driver is bounded by the number of hash buckets.
     """
-    known = F.lower(F.split(F.trim("lang"), "[-_. ]")[0]).isin(sorted(CODE_OF))
-    labelled = docs.where(known & F.col("text").isNotNull())
-    step = max(1, labelled.count() // sample_docs)
-    sample = write_table(labelled.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0), "language-sample")
+    code = F.create_map(*[F.lit(x) for pair in CODE_OF.items() for x in pair])[F.lower(F.split(F.trim("lang"), "[-_. ]")[0])]
+    labelled = docs.withColumn("code", code).where(F.col("code").isNotNull() & F.col("text").isNotNull())
+    borne = {r["code"]: r["n"] for r in labelled.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(borne.values())
+    languages = sorted(c for c, n in borne.items() if n >= LEAST_LABELLED * total) or ["en"]
+    step = max(1, total // sample_docs)
+    sample = write_table(labelled.where(F.col("code").isin(languages)).drop("code").where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0), "language-sample")
     shape = "kind int, bucket int, lang int, n bigint"
 
     def count(first: Models | None):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for _, labels, found in _chunks(frames):
                 if first is None:
-                    langs = np.repeat([LANGUAGES.index(code_of(x)) for x in labels], [len(d) for d in found])
+                    langs = np.repeat([languages.index(code_of(x)) for x in labels], [len(d) for d in found])
                 else:
                     like, owner, n = first.likelihoods(found)
                     _, post = mixture(like, owner, n, len(found))
                     langs = np.where((post.max(1) > PART_CONFIDENCE) & (n >= 4), post.argmax(1), -1) if len(n) else np.zeros(0, "int64")
                 yield _counted(found, langs.astype("int64"))
 
-        return _models(sample.mapInPandas(run, shape))
+        return _models(sample.mapInPandas(run, shape), languages)
 
     return count(count(None))
 
@@ -264,8 +288,8 @@ def document_languages(documents: DataFrame, id_col: str = "doc_id", text_col: s
     document, with null lang and confidence 0 where no word occurs (empty and null texts). kind 'part': each other
     language in which a sentence has PART_WORDS words or more, confidence the highest of such a sentence. words are
     those of the language's sentences. label_lang is what the document's label stands for, null if missing
-    or unknown. Repeated documents come out each time; other columns don't matter. Without any labelled document
-    every language is equally likely and mains are by code.
+    or unknown. The languages are those of the labels. Repeated documents come out each time; other columns don't
+    matter. Without any labelled document there is one language, en.
 
     Two passes: one over a bounded sample to fit the models, one over all documents, which never move.
     """
@@ -274,7 +298,7 @@ def document_languages(documents: DataFrame, id_col: str = "doc_id", text_col: s
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        models, k = held.value, len(LANGUAGES)
+        models, k = held.value, len(held.value.languages)
         for ids, labels, found in _chunks(frames):
             like, owner, n = models.likelihoods(found)
             _, post = mixture(like, owner, n, len(found))
@@ -294,8 +318,8 @@ def document_languages(documents: DataFrame, id_col: str = "doc_id", text_col: s
                 if not words[d, m]:
                     rows.append((doc_id, "main", None, 0.0, 0, told))
                     continue
-                rows.append((doc_id, "main", LANGUAGES[m], trust[d, m] / words[d, m], int(words[d, m]), told))
-                rows.extend((doc_id, "part", LANGUAGES[j], clear[d, j], int(words[d, j]), told) for j in range(k) if j != m and clear[d, j] > 0)
+                rows.append((doc_id, "main", models.languages[m], trust[d, m] / words[d, m], int(words[d, m]), told))
+                rows.extend((doc_id, "part", models.languages[j], clear[d, j], int(words[d, j]), told) for j in range(k) if j != m and clear[d, j] > 0)
             yield pd.DataFrame(rows, columns=["id", "kind", "lang", "confidence", "words", "label_lang"])
 
     return docs.mapInPandas(run, f"id {id_type}, kind string, lang string, confidence double, words int, label_lang string").withColumnRenamed("id", id_col)

@@ -1,28 +1,36 @@
-"""Problem 9: passages of evaluation items inside documents, by greedy string tiling."""
+"""Problem 9: passages of evaluation items inside documents, by greedy string tiling.
+
+Documents are decoded and cut into words once. What leaves that pass are the stretches of a document whose runs of words an
+item may have, told by a bitmap of bounded size; those are joined with the items by the hashes of their runs, and tiles
+are laid for each document and item that share one.
+"""
 
 from __future__ import annotations
 
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.mail import text_bodies
-from tallyloom.plans.shared import spread
+from tallyloom.plans.shared import spread, write_table
 
 WORD = re.compile(r"[^\W_]+")
-#: Characters of item text that one pass over the documents carries to every executor.
-BLOCK_CHARS = 4_000_000
-#: Documents tokenised at a time within a task; a longer document stands alone.
+#: The bitmap has so many bits for each run of an item, and between these numbers of bits (powers of two) in all; beyond, more stretches leave a task and are dropped by the join.
+BITS_A_RUN, LEAST_BITS, MOST_BITS = 64, 1 << 20, 1 << 27
+#: Characters of documents that are worked on at a time within a task; a longer document stands alone.
 CHUNK_CHARS = 2_000_000
+#: Words whose hashes a task keeps.
+MOST_CACHED = 1_000_000
 #: Characters without width, which may stand inside a word.
 UNSEEN = dict.fromkeys((0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))
-FOUND = "item_id string, longest int, covered int, tiles int, coverage double"
+FOUND = "longest:int,covered:int,tiles:int,coverage:double"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -33,6 +41,25 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+class Hasher:
+    """64-bit hashes of words, kept while a task runs."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        known = self.known
+        if len(known) > MOST_CACHED:
+            known.clear()
+        out = np.empty(len(words), "uint64")
+        for i, w in enumerate(words):
+            h = known.get(w)
+            if h is None:
+                h = known[w] = xxhash.xxh64_intdigest(w)
+            out[i] = h
+        return out
+
+
 def rolling(ids: np.ndarray, k: int) -> np.ndarray:
     """Karp-Rabin hashes of all runs of k ids, modulo 2^64."""
     n = len(ids) - k + 1
@@ -45,44 +72,6 @@ def rolling(ids: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-class Items:
-    """A block of items, ready for search: words as numbers, and all seeds of k words, sorted by hash."""
-
-    def __init__(self, rows: Iterable[tuple[str, str]], k: int):
-        self.k, self.ids, self.vocabulary, self.names = k, [], {}, []
-        hashes, items, places = [], [], []
-        for item_id, text in rows:
-            words = words_of(text)
-            self.names.append(item_id)
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], "int64")
-            h = rolling(ids, k)
-            hashes.append(h)
-            items.append(np.full(len(h), len(self.ids), "int64"))
-            places.append(np.arange(len(h)))
-            self.ids.append(ids)
-        h = np.concatenate(hashes) if hashes else np.zeros(0, "uint64")
-        order = np.argsort(h, kind="stable")
-        self.hashes = h[order]
-        self.items = np.concatenate(items)[order] if items else np.zeros(0, "int64")
-        self.places = np.concatenate(places)[order] if places else np.zeros(0, "int64")
-
-    def seeds(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, item, place in the item) of every run of k words that ids, documents in a row, share with an item.
-
-        ends holds, for each word, where its document ends; runs of words no item has, or over an end, are left out.
-        """
-        h = rolling(ids, self.k)
-        if not len(h) or not len(self.hashes):
-            return (np.zeros(0, "int64"),) * 3
-        known = np.concatenate([[0], np.cumsum(ids > 0)])
-        at = np.flatnonzero((known[self.k :] - known[: -self.k] == self.k) & (np.arange(len(h)) + self.k <= ends[: len(h)]))
-        low, high = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
-        n = high - low
-        at, low, n = at[n > 0], low[n > 0], n[n > 0]
-        where = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return np.repeat(at, n), self.items[where], self.places[where]
-
-
 def tile(seeds: list[tuple[int, int]], doc: np.ndarray, item: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (document place, item place, length), longest matches first, none overlapping another.
 
@@ -124,23 +113,89 @@ def tile(seeds: list[tuple[int, int]], doc: np.ndarray, item: np.ndarray, k: int
     return tiles
 
 
-def _search(texts: list[list[str]], items: Items) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
-    """(document, item, tiles) for documents given as words."""
-    get = items.vocabulary.get
-    ids = np.fromiter((get(w, 0) for t in texts for w in t), "int64")
-    sizes = np.fromiter(map(len, texts), "int64", len(texts))
-    stops = np.cumsum(sizes)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    at, item, place = items.seeds(ids, stops[owner])
-    pairs: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-    for a, i, p in zip(at.tolist(), item.tolist(), place.tolist(), strict=True):
-        pairs[int(owner[a]), i].append((a, p))
-    for (d, i), seeds in pairs.items():
-        if tiles := tile(seeds, ids, items.ids[i], items.k):
-            yield d, i, tiles
-
-
-def leaked_items(documents: DataFrame, items: DataFrame, min_tile: int = 12, min_run: int = 12, min_coverage: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shared_runs(doc: list[str], item: list[str], k: int) -> list[tuple[int, int]]:
+    """(place in doc, place in item) of every equal run of k words."""
+    at: dict[tuple[str, ...], list[int]] = defaultdict(list)
+    for i in range(len(item) - k + 1):
+        at[tuple(item[i : i + k])].append(i)
+    return [(d, i) for d in range(len(doc) - k + 1) for i in at.get(tuple(doc[d : d + k]), ())]
+
+
+def tiled(pieces: list[list[str]], item: list[str], k: int) -> tuple[int, int, int, float]:
+    """(longest tile, words covered, tiles, part of the item covered) of an item's tiles in the stretches of a document."""
+    words = [w for p in pieces for w in (*p, "")]
+    number: dict[str, int] = {"": 0}
+    ids = lambda ws: np.array([number.setdefault(w, len(number)) for w in ws], "int64")
+    tiles = tile(shared_runs(words, item, k), ids(words), ids(item), k)
+    covered = sum(n for _, _, n in tiles)
+    return max((n for _, _, n in tiles), default=0), covered, len(tiles), covered / max(len(item), 1)
+
+
+def _runs(rows: DataFrame, columns: str, k: int) -> DataFrame:
+    """columns and h, the hash of each run of k words, of rows with words besides."""
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = Hasher()
+        for frame in frames:
+            found = [rolling(hasher(list(w)), k).view("int64") for w in frame["words"]]
+            yield pd.DataFrame({**{c: frame[c].repeat([len(h) for h in found]) for c in names}, "h": np.concatenate(found) if found else np.zeros(0, "int64")})
+
+    return rows.mapInPandas(hashed, f"{columns}, h bigint").distinct()
+
+
+def _bitmap(runs: DataFrame) -> np.ndarray:
+    """Bits, one of which is set for each hash; the driver gets at most MOST_BITS of them."""
+    n, bits = runs.select("h").distinct().count(), LEAST_BITS
+    while bits < min(n * BITS_A_RUN, MOST_BITS):
+        bits *= 2
+    slot = F.pmod("h", F.lit(bits))
+    words = runs.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(h, {bits}) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(bits // 64, "uint64")
+    out[words["w"].to_numpy("int64")] = words["b"].to_numpy("int64").view("uint64")
+    return out
+
+
+def _stretches(documents: DataFrame, id_type: str, bitmap: np.ndarray, k: int) -> DataFrame:
+    """uid, id, words: the stretches of each document's bodies whose runs of k words are in the bitmap. Documents stay where they are."""
+    held = documents.sparkSession.sparkContext.broadcast(bitmap)
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits, hasher = held.value, Hasher()
+        most = np.uint64(len(bits) * 64)
+
+        def kept(rows: list[tuple[int, object, list[str]]]) -> pd.DataFrame:
+            words = [w for *_, ws in rows for w in ws]
+            owner = np.repeat(np.arange(len(rows)), [len(ws) for *_, ws in rows])
+            h = rolling(hasher(words), k)
+            gaps = np.concatenate([[0], np.cumsum(np.fromiter((not w for w in words), bool, len(words)))])
+            slot = h % most
+            hit = (bits[(slot >> np.uint64(6)).astype("int64")] >> (slot & np.uint64(63))) & np.uint64(1)
+            at = np.flatnonzero((hit == 1) & (gaps[k:] == gaps[: len(h)]))
+            found = []
+            if len(at):
+                breaks = np.flatnonzero((np.diff(at) > k) | (owner[at[1:]] != owner[at[:-1]])) + 1
+                for run in np.split(at, breaks):
+                    uid, doc_id, _ = rows[owner[run[0]]]
+                    piece = words[run[0] : run[-1] + k]
+                    found.append((uid, doc_id, piece))
+            return pd.DataFrame(found, columns=["uid", "id", "words"])
+
+        for frame in frames:
+            rows, size = [], 0
+            for uid, doc_id, text in zip(frame["uid"], frame["id"], frame["text"], strict=True):
+                rows.append((uid, doc_id, [w for body in text_bodies(text) for w in (*words_of(body), "")]))
+                size += len(text)
+                if size > CHUNK_CHARS:
+                    yield kept(rows)
+                    rows, size = [], 0
+            if rows:
+                yield kept(rows)
+
+    return documents.mapInPandas(scan, f"uid bigint, id {id_type}, words array<string>")
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, min_tile: int = 6, min_run: int = 12, min_coverage: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, item_id, longest, covered, tiles, coverage: the items whose text occurs in a document's text bodies.
 
     Tiles are runs of at least min_tile equal words, none overlapping another, longest first; covered is the number of
@@ -148,40 +203,29 @@ def leaked_items(documents: DataFrame, items: DataFrame, min_tile: int = 12, min
     that part of the item is covered, in whatever order. Null texts and items with less than min_tile words match
     nothing; an item_id that occurs twice stands for each of its texts; a repeated document comes out each time.
 
-    Documents never move: items go to them in blocks of up to BLOCK_CHARS characters (a longer item is a block of its
-    own), one pass over the documents each, and only pairs found leave a task.
+    Documents are read once, whatever the number of items. Stretches of them that may be an item's, and the items, are
+    joined by hashes of runs of min_tile words; only documents and items that share one are compared word by word.
     """
-    spark = documents.sparkSession
-    known = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text", F.length("text").alias("_n"))
-    sizes = known.agg(F.sum("_n").alias("s"), F.max("_n").alias("m")).first()
-    n_blocks = -(-(sizes["s"] or 0) // BLOCK_CHARS)
-    blocks = [known] if n_blocks <= 1 else [known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * n_blocks)) == b) for b in range(2 * n_blocks)]
-    id_type = documents.schema[id_col].dataType.simpleString()
-    texts = spread(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null"))
-    out = None
-    for block in blocks:
-        held = spark.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in block.select("item_id", "text").collect()], min_tile))
-
-        def scan(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            found = held.value
-            for frame in frames:
-                rows, texts, ids, size = [], [], [], 0
-                for doc_id, text in [*zip(frame["id"], frame["text"], strict=True), (None, None)]:
-                    if text is not None:
-                        words = [w for body in text_bodies(text) for w in [*words_of(body), ""]]
-                        texts.append(words)
-                        ids.append(doc_id)
-                        size += len(text)
-                    if texts and (size > CHUNK_CHARS or len(ids) and text is None and doc_id is None):
-                        for d, i, tiles in _search(texts, found):
-                            longest, covered = max(n for _, _, n in tiles), sum(n for _, _, n in tiles)
-                            share = covered / len(found.ids[i])
-                            if longest >= min_run or (min_coverage is not None and share >= min_coverage):
-                                rows.append((ids[d], found.names[i], longest, covered, len(tiles), share))
-                        texts, ids, size = [], [], 0
-                if rows:
-                    yield pd.DataFrame(rows, columns=["id", "item_id", "longest", "covered", "tiles", "coverage"])
-
-        part = texts.mapInPandas(scan, f"id {id_type}, {FOUND}")
-        out = part if out is None else out.unionByName(part)
-    return out.withColumnRenamed("id", id_col)
+    k, id_type = min_tile, documents.schema[id_col].dataType.simpleString()
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(words_of)
+
+    @F.pandas_udf(f"struct<{FOUND}>")
+    def lay(pieces: pd.Series, words: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([tiled([list(p) for p in ps], list(w), k) for ps, w in zip(pieces, words, strict=True)], columns=[c.split(":")[0] for c in FOUND.split(",")])
+
+    known = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", cut("text").alias("words")).distinct()
+    known = write_table(known.where(F.size("words") >= k).withColumn("item", F.monotonically_increasing_id()), "items")
+    runs = write_table(_runs(known, "item bigint", k), "item-runs")
+    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    texts = spread(texts).withColumn("uid", F.monotonically_increasing_id())
+    held = write_table(_stretches(texts, id_type, _bitmap(runs), k), "stretches")
+    pairs = _runs(held, "uid bigint", k).join(runs, "h").select("uid", "item").distinct()
+    pieces = held.groupBy("uid").agg(F.first("id").alias("id"), F.collect_list("words").alias("pieces"))
+    found = pairs.join(pieces, "uid").join(known, "item").withColumn("t", lay("pieces", "words")).select("id", "item_id", "t.*")
+    enough = F.col("longest") >= min_run
+    if min_coverage is not None:
+        enough = enough | (F.col("coverage") >= min_coverage)
+    return found.where(enough).withColumnRenamed("id", id_col)

@@ -16,8 +16,6 @@ _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|head)\b.*?(?:</\1\s*>|\Z
 _INLINE = re.compile(r"</?(?:a|abbr|b|big|code|em|font|i|mark|s|small|span|strong|sub|sup|u|wbr)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[a-z!][^<>]*>", re.I)
 _NOT_BASE64 = re.compile(r"[^A-Za-z0-9+/]")
-#: Multiparts nested deeper than this are left as they are.
-DEEPEST = 20
 
 
 def plain_of_html(text: str) -> str:
@@ -45,16 +43,16 @@ def text_bodies(message: str | None) -> list[str]:
     """The decoded text bodies of a message in order: plain and HTML parts, without headers and attachments.
 
     A message that doesn't begin with a header is one body. Missing closing boundaries, broken encodings and
-    unknown charsets are read as far as they go; null has no body.
+    unknown charsets are read as far as they go, at any depth of nesting; null has no body.
     """
     if not message:
         return []
     if not _HEADER.match(message):
         return [message]
     found: list[str] = []
-    parts = [(message, 0)]
+    parts = [message]
     while parts:
-        part, depth = parts.pop()
+        part = parts.pop()
         cut = _BLANK.search(part)
         head, body = (part[: cut.start()], part[cut.end() :]) if cut else (part, "")
         fields = {m[1].lower(): m[2] for m in _FIELD.finditer(head)}
@@ -62,19 +60,19 @@ def text_bodies(message: str | None) -> list[str]:
         low = kind.lower()
         if fields.get("content-disposition", "").lower().startswith("attachment"):
             continue
-        if low.startswith("multipart/") and depth < DEEPEST and (b := _BOUNDARY.search(kind)):
+        if low.startswith("multipart/") and (b := _BOUNDARY.search(kind)):
             mark = "--" + (b[1] or b[2])
             pieces = re.split(rf"^{re.escape(mark)}(--)?[ \t]*\r?$\n?", body, flags=re.M)
             inner = []
             for i in range(2, len(pieces), 2):
                 if pieces[i - 1]:
                     break
-                inner.append((pieces[i], depth + 1))
+                inner.append(pieces[i])
             parts.extend(reversed(inner))
         elif low.startswith("text/"):
             charset = _CHARSET.search(kind)
             text = _decoded(body, fields.get("content-transfer-encoding", "").strip().lower(), charset[1] if charset else "utf-8")
             found.append(plain_of_html(text) if low.startswith("text/html") else text)
-        elif low.startswith("message/") and depth < DEEPEST:
-            parts.append((body.lstrip("\r\n"), depth + 1))
+        elif low.startswith("message/"):
+            parts.append(body.lstrip("\r\n"))
     return found

@@ -11,8 +11,8 @@ from tallyloom.plans.shared import lookup, write_table
 
 #: Cells of a key are this many tolerances long.
 CELL_TOLERANCES = 8
-#: Cells with at least HOT_ROWS rows, and at least a MOST_HOT-th of all, are hot; so at most MOST_HOT rows of three numbers are broadcast.
-HOT_ROWS, MOST_HOT = 20_000, 1_000_000
+#: Cells with at least so many rows are hot.
+HOT_ROWS = 20_000
 #: Short cells in one tolerance, into which hot cells are cut.
 SHORT = 64
 #: Rows that one task of the co-group should hold, about.
@@ -31,7 +31,8 @@ def nearest_in_time(source: DataFrame, target: DataFrame, key: str, at: str, ord
     key or time match nothing and rows with a null ordinal are left out; several sources may have one target. Repeated
     source rows come out as often as they occur. Empty tables give an empty result. Keys are compared by 128 bits of hash.
 
-    Both tables are co-grouped by key and time cell. Each target also goes into the cells that its tolerance reaches,
+    Hot cells are told by exact counts; their list is joined by Spark's own choice, by broadcast only as long as it is
+    small. Both tables are co-grouped by key and time cell. Each target also goes into the cells that its tolerance reaches,
     so every source finds its nearest target inside its own cell, by binary search. Targets of one key and time are
     folded to their smallest ordinal first. Hot cells are cut into short ones of tolerance/SHORT; there sources of
     one key and time are folded too, and looked up afterwards. A short cell thus holds at most its own distinct
@@ -47,16 +48,15 @@ def nearest_in_time(source: DataFrame, target: DataFrame, key: str, at: str, ord
 
     src, tgt = taken(source), taken(target).groupBy("h", "g", "at").agg(F.min("o").alias("o"))
     total = source.count() + target.count()
-    floor = max(float(hot_rows), total / MOST_HOT)
     both = taken(source).select("h", "at").unionByName(taken(target).select("h", "at"))
-    hot_keys = write_table(both.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= floor).select("h"), "time-keys")
-    cells = both.join(F.broadcast(hot_keys), "h", "left_semi").groupBy("h", _cell(F.col("at"), wide).alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    hot = write_table(cells.where(F.col("n") >= floor).select("h", "c", F.lit(True).alias("hot")), "time-cells")
+    hot_keys = write_table(both.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= hot_rows).select("h"), "time-keys")
+    cells = both.join(hot_keys, "h", "left_semi").groupBy("h", _cell(F.col("at"), wide).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    hot = write_table(cells.where(F.col("n") >= hot_rows).select("h", "c", F.lit(True).alias("hot")), "time-cells")
     any_hot = bool(hot.take(1))
     groups = max(8, total // GROUP_ROWS)
 
     def marked(rows: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(hot), ["h", "c"], "left") if any_hot else rows.withColumn("hot", F.lit(None).cast("boolean"))
+        return rows.join(hot, ["h", "c"], "left") if any_hot else rows.withColumn("hot", F.lit(None).cast("boolean"))
 
     def searched(s: DataFrame, t: DataFrame) -> DataFrame:
         bucket = F.pmod(F.xxhash64("h", "g", "c"), F.lit(groups)).cast("int").alias("bucket")

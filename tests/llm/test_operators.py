@@ -16,7 +16,7 @@ from tallyloom.llm import languages, queries
 from tallyloom.llm.entity_match import matched_entries, propagate
 from tallyloom.llm.format_copies import record_copies, records
 from tallyloom.llm.languages import code_of, document_languages, language_findings, sentences
-from tallyloom.llm.leakage import Items, leaked_items, tile, words_of
+from tallyloom.llm.leakage import Hasher, leaked_items, rolling, shared_runs, tile, tiled, words_of
 from tallyloom.llm.mail import text_bodies
 from tallyloom.llm.name_parts import abbreviates, name_words, one_edit
 from tallyloom.llm.name_variants import name_entities, name_pairs, soft_similarity
@@ -123,6 +123,10 @@ def test_bodies():
     multi = f'From: a\nContent-Type: multipart/mixed;\n boundary="x=1"\n\npreamble\n--x=1\nContent-Type: text/html\n\n<p>a<b>b</b>c &amp; d<br>e</p><style>no</style>\n--x=1\nContent-Type: text/plain\nContent-Disposition: attachment\n\nsecret\n--x=1\n\nplain'
     assert [" ".join(x.split()) for x in text_bodies(multi)] == ["abc & d e", "plain"]
     assert text_bodies("no headers here") == ["no headers here"]
+    deep = f"{head}8bit\n\nfound"
+    for i in range(60):
+        deep = f"Content-Type: multipart/mixed; boundary=b{i}\n\n--b{i}\n{deep}\n--b{i}--\n" if i % 2 else f"Content-Type: message/rfc822\n\n{deep}"
+    assert [x.strip() for x in text_bodies(deep)] == ["found"]
     assert text_bodies(None) == [] and text_bodies("") == []
     assert text_bodies(f"{head}base64\n\n%%%")[0] == ""
 
@@ -167,6 +171,8 @@ def test_reordered_passage(spark):
     got = leaked_items(docs, items, min_tile=6, min_run=12, min_coverage=0.5).collect()
     assert [(r["doc_id"], r["longest"], r["covered"], r["tiles"]) for r in got] == [(1, 9, 27, 3)]
     assert leaked_items(docs, items).count() == 0
+    twice = docs.where("doc_id = 1").unionByName(docs.where("doc_id = 1"))
+    assert leaked_items(twice, items.unionByName(items), min_tile=6, min_run=9).count() == 2
 
 
 def test_tiles_do_not_overlap():
@@ -181,7 +187,8 @@ def test_tiles_do_not_overlap():
             assert len(cells) == len(set(cells))
         assert all((doc[d : d + n] == item[i : i + n]).all() for d, i, n in tiles)
         assert not seeds or max(t[2] for t in tiles) == max(next(n for n in range(40, 2, -1) if any((d + n <= 40 and i + n <= 30 and (doc[d : d + n] == item[i : i + n]).all()) for d, i in seeds)) for _ in (0,))
-    assert len(Items([("a", "x y")], 3).hashes) == 0
+    assert len(rolling(Hasher()(["x", "y"]), 3)) == 0 and shared_runs(["a", "b"], ["a", "b"], 2) == [(0, 0)]
+    assert tiled([["a", "b", "c"], ["d", "e"]], ["d", "e", "a", "b", "c"], 2) == (3, 5, 2, 1.0)
 
 
 LINES = {
