@@ -1,4 +1,4 @@
-"""Fixed vocabularies; columns hold these texts."""
+"""Fixed vocabularies: the texts that columns hold."""
 
 from __future__ import annotations
 
@@ -23,18 +23,13 @@ class Strategy(StrEnum):
 
 
 class Status(StrEnum):
-    PENDING = "Pending"
-    RUNNING = "Running"
     COMPLETED = "Completed"
-    FAILED = "Failed"
     PARTIALLY_COMPLETED = "PartiallyCompleted"
 
 
 class ResultKind(StrEnum):
     MATCHED = "Matched"
     UNMATCHED = "Unmatched"
-    PARTIAL = "Partial"
-    DUPLICATE = "Duplicate"
 
 
 class FileFormat(StrEnum):
@@ -44,25 +39,11 @@ class FileFormat(StrEnum):
 
 
 class ErrorType(StrEnum):
-    FILE_NOT_FOUND = "FileNotFound"
-    FILE_CORRUPTED = "FileCorrupted"
-    UNSUPPORTED_FORMAT = "UnsupportedFormat"
-    FILE_TOO_LARGE = "FileTooLarge"
-    INVALID_HEADER = "InvalidHeader"
     MALFORMED_ROW = "MalformedRow"
     INVALID_AMOUNT = "InvalidAmount"
     INVALID_DATE = "InvalidDate"
     NORMALIZATION_FAILED = "NormalizationFailed"
-    MATCHING_TIMEOUT = "MatchingTimeout"
-    FTP_CONNECTION_FAILED = "FtpConnectionFailed"
-    SFTP_CONNECTION_FAILED = "SftpConnectionFailed"
-    QUEUE_CONNECTION_LOST = "QueueConnectionLost"
-    BLOB_STORAGE_UNAVAILABLE = "BlobStorageUnavailable"
 
 
 class ErrorCode(StrEnum):
     INVALID_TRANSACTION = "INVALID_TRANSACTION"
-    INGESTION_FAILED = "INGESTION_FAILED"
-    PIPELINE_EXECUTION_FAILED = "PIPELINE_EXECUTION_FAILED"
-    UNSUPPORTED_FORMAT = "UNSUPPORTED_FORMAT"
-    TOLERANCE_RULE_VIOLATION = "TOLERANCE_RULE_VIOLATION"

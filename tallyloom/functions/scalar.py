@@ -100,6 +100,13 @@ def utc_date(ts: Column) -> Column:
     return F.date_from_unix_date(F.floor(F.unix_micros(ts) / F.lit(86_400_000_000)).cast("int"))
 
 
+def money(amount: Column, currency: Column) -> Column:
+    """amount (two decimals) and currency as a struct; a currency that hasn't three characters is an error, null is null."""
+    code = currency_code(currency)
+    made = F.struct(round_money(amount).alias("amount"), code.alias("currency"))
+    return F.when(amount.isNull() | currency.isNull(), None).when(code.isNotNull(), made).otherwise(F.raise_error(F.lit("a currency has three characters")).cast("struct<amount:decimal(18,2),currency:string>"))
+
+
 def minor_units(amount: Column) -> Column:
     """bigint of ten-thousandths; an amount with more than four decimals is an error."""
     scaled = amount.cast("decimal(38,10)") * 10000

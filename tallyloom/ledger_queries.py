@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.enums import Discrepancy
 from tallyloom.functions import predicates as P
+from tallyloom.functions import results as R
 from tallyloom.functions import scalar as S
 from tallyloom.ledgers import SOURCE_SQL, TARGET_SQL, ledgers
 from tallyloom.operators.classify import classify, reason_counts, reference_groups
@@ -180,6 +181,19 @@ def _counters(t: Tables) -> DataFrame:
     return report.summary.select(*cols, (F.col("match_rate") * 100).cast("bigint").alias("match_rate_bp"))
 
 
+def _money(t: Tables) -> DataFrame:
+    rows = t.raw_txn.where(S.currency_code(F.col("currency")).isNotNull()).select(S.money(S.parse_amount(F.col("amount")), F.col("currency")).alias("m"))
+    return rows.where("m.amount is not null").groupBy("m.currency").agg(F.count(F.lit(1)).alias("n"), F.sum(cents(F.col("m.amount"))).cast("bigint").alias("cents"))
+
+
+def _chained(t: Tables) -> DataFrame:
+    """Half of each amount in cents, or the first error on the way: no number, then below zero."""
+    number = R.checked(S.normalize_amount(F.col("amount")), "decimal(18,2)", "no number")
+    positive = R.then(number, lambda v: F.when(v >= 0, R.success(v)).otherwise(R.failure("below zero", "decimal(18,2)")), "decimal(18,2)")
+    half = R.mapped(positive, lambda v: F.floor(v * 50), "bigint")
+    return t.raw_txn.select("raw_id", half.alias("r")).select("raw_id", F.col("r.value").alias("half_cents"), F.col("r.error.message").alias("message"))
+
+
 def _contended(t: Tables) -> DataFrame:
     """Lines of an order against its lines at a tenth less or more: many sources a bucket want the same few targets."""
     lines = t.lineitem.select(F.col("l_orderkey").cast("string").alias("ref"), F.lit("EUR").alias("currency"), F.col("l_quantity").cast("decimal(18,2)").alias("amount"), F.to_date("l_shipdate").alias("value_date"), (F.col("l_orderkey") * 1_000_000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("ordinal"))
@@ -196,6 +210,9 @@ QUERIES |= {
     "reconcile_raw": over(_reconciled_raw),
     "report_counters": over(_counters),
     "report_page": over(lambda t: page(_transaction_pairs(t), ["s_ordinal"], 2, 100).select("s_id", "t_id", "strategy")),
+    "money_of": over(lambda t: _money(t)),
+    "result_chain": over(lambda t: _chained(t)),
+    "drafted_options": over(lambda t: _shown(match(*_sides(t), ReconOptions.draft().fuzzy("0.70", "0.95").tolerance(absolute=5).build()), "s_id", "t_id")),
     "transaction_id_rejects": over(lambda t: t.raw_txn.select("raw_id", F.coalesce("reference", F.lit("")).alias("text")).where(~S.valid_transaction_id(F.col("text")))),
     "match_contended": over(lambda t: _contended(t)),
 }
@@ -348,6 +365,12 @@ SQL: dict[str, str] = {
         count(*) filter (side = 'S' and outcome = 'MatchedFuzzy') as fuzzy_count, count(*) filter (side = 'S' and outcome = 'MatchedPartial') as partial_count, (select count(*) from left_s) as unmatched_source, (select count(*) from left_t) as unmatched_target,
         count(*) filter (outcome = 'Rejected') as skipped_rows, count(*) filter (outcome = 'Rejected') as total_errors, count(distinct source_file) filter (outcome = 'Rejected') as dead_letter_files, cast(round((select count(*) from pairs) * 10000.0 / (select count(*) from src)) as bigint) as match_rate_bp from outcomes""",
     "report_page": f"{_TXN_CASCADE} select s_id, t_id, strategy from pairs order by s_ordinal limit 100 offset 100",
+    "money_of": over(lambda t: _money(t)),
+    "result_chain": over(lambda t: _chained(t)),
+    "drafted_options": over(lambda t: _shown(match(*_sides(t), ReconOptions.draft().fuzzy("0.70", "0.95").tolerance(absolute=5).build()), "s_id", "t_id")),
+    "money_of": f"with {_amount_sql('raw_txn', 'a')} select upper({_TRIM.format('currency')}) as currency, count(*) as n, cast(sum(cents) as bigint) as cents from raw_txn join a on raw_txn.amount = a.raw where cents is not null and length({_TRIM.format('currency')}) = 3 group by 1",
+    "result_chain": f"with {_amount_sql('raw_txn', 'a')} select raw_id, case when cents >= 0 then cents // 2 end as half_cents, case when cents is null then 'no number' when cents < 0 then 'below zero' end as message from raw_txn left join a on raw_txn.amount = a.raw",
+    "drafted_options": f"{_TXN_CASCADE} select * from pairs",
     "transaction_id_rejects": "select raw_id, coalesce(reference, '') as text from raw_txn where not regexp_full_match(lower(coalesce(reference, '')), '[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9a-f]{64}')",
     "match_contended": f"""with recursive src as (select l_orderkey::varchar as ref, 'EUR' as currency, l_orderkey * 1000000 + l_partkey * 10 + l_linenumber as ordinal, l_orderkey * 1000000 + l_partkey * 10 + l_linenumber as id, max(cast(cast(l_quantity as decimal(18,2)) * 100 as bigint)) as cents, max(cast(l_shipdate as date)) as value_date from lineitem group by all),
         tgt as (select * replace (value_date + 20 as value_date) from src), {_turns_sql('Exact', 'Fuzzy', 'Partial')} select ref, s_ordinal, t_ordinal, strategy, score_bp from pairs""",

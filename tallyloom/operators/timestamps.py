@@ -96,9 +96,9 @@ def with_instants(rows: DataFrame, text_col: str, dictionary: DataFrame, made: s
     return lookup(keyed, dictionary, [FEED, KEY], ["norm"], salt).withColumnRenamed("norm", made).drop(KEY)
 
 
-def kept_dictionary(spark: SparkSession) -> str:
-    """Where the registered queries keep their dictionary: in the folder that all executors share."""
-    return f"{shared_dir(spark)}/tallyloom/instants"
+def kept_dictionary(spark: SparkSession, data: str) -> str:
+    """Where the registered queries keep the dictionary of a data folder, for its later loads: in the folder that all executors share."""
+    return f"{shared_dir(spark)}/tallyloom/instants-{hashlib.sha256(data.encode()).hexdigest()[:16]}"
 
 
 def normalise_timestamps(rows: DataFrame, id_col: str, fields: list[str], feed_info: DataFrame, zone_label: DataFrame, path: str | None = None) -> DataFrame:

@@ -87,3 +87,35 @@ class ReconOptions:
     def with_tolerance(self, **changes: Any) -> ReconOptions:
         """Another tolerance. What isn't named goes back to its default and isn't kept from this tolerance."""
         return replace(self, tolerance=ToleranceRule(**changes))
+
+    @classmethod
+    def draft(cls, start: ReconOptions | None = None) -> OptionsDraft:
+        """Settings to be changed step by step, from the defaults or another set; build() checks them."""
+        return OptionsDraft(start or cls())
+
+
+class OptionsDraft:
+    """Settings in the making: each step gives another draft, and nothing is checked before build()."""
+
+    def __init__(self, start: ReconOptions, changes: Mapping[str, Any] | None = None, rule: Mapping[str, Any] | None = None):
+        self._start, self._changes, self._rule = start, dict(changes or {}), rule
+
+    def _and(self, **changes: Any) -> OptionsDraft:
+        return OptionsDraft(self._start, self._changes | changes, self._rule)
+
+    def exact(self, confidence: Any) -> OptionsDraft:
+        return self._and(exact_confidence=confidence)
+
+    def fuzzy(self, least: Any, most: Any) -> OptionsDraft:
+        return self._and(fuzzy_min=least, fuzzy_max=most)
+
+    def partial(self, confidence: Any) -> OptionsDraft:
+        return self._and(partial_min=confidence)
+
+    def tolerance(self, **values: Any) -> OptionsDraft:
+        """absolute, percentage, date_window_days; what isn't named goes back to its default."""
+        return OptionsDraft(self._start, self._changes, values)
+
+    def build(self) -> ReconOptions:
+        rule = self._start.tolerance if self._rule is None else ToleranceRule(**self._rule)
+        return replace(self._start, tolerance=rule, **self._changes)

@@ -29,7 +29,7 @@ DATA_QUERIES: dict[str, Query] = {
     "p1_found": over(lambda t: ledger_differences(t.raw_txn, t.raw_txn_copy, t.unmatched, t.unmatched_copy, t.feed_info, t.zone_label)),
     "p1_differences": over(lambda t: ledger_field_differences(t.raw_txn, t.raw_txn_copy, t.unmatched, t.unmatched_copy, t.feed_info, t.zone_label)),
     "p1_reasons": over(lambda t: case_rows(diff_copies(t.unmatched, t.unmatched_copy, ["source_file", "source_row_number"], {"reason": by_column(reason_form)}), "unmatched", "source_row_number")),
-    "p2_found": over(lambda t: changed_timestamps(t.raw_txn, "raw_id", ["value_date", "booking_date"], t.feed_info, t.zone_label, kept_dictionary(t.raw_txn.sparkSession))),
+    "p2_found": over(lambda t: changed_timestamps(t.raw_txn, "raw_id", ["value_date", "booking_date"], t.feed_info, t.zone_label, kept_dictionary(t.spark, t.folder))),
     "p5_found": over(lambda t: row_errors(load_lines(t.raw_line, t.feed_info, t.zone_label)).select("line_id", "reason")),
     "p5_loaded": over(lambda t: _in_cents(loaded_rows(load_lines(t.raw_line, t.feed_info, t.zone_label)))),
 }

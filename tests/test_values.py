@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import predicates as P
+from tallyloom.functions import results as R
 from tallyloom.functions import scalar as S
 from tallyloom.functions.amounts import read_amount
 from tallyloom.functions.instants import read_instant, written
@@ -138,3 +139,25 @@ LABELS = {"CET": 60, "EST": -300}
 )
 def test_instants(text, order, zone, want):
     assert written(read_instant(text, order, zone, LABELS)) == want
+
+
+def test_drafts():
+    draft = ReconOptions.draft().exact("0.9").fuzzy("0.5", "0.8").partial("0.4").tolerance(date_window_days=7)
+    made = draft.build()
+    assert (made.exact_confidence, made.fuzzy_min, made.partial_min, made.tolerance.date_window_days, made.tolerance.absolute) == (D("0.9"), D("0.5"), D("0.4"), 7, D("5.00"))
+    assert ReconOptions.draft(made).build() == made and draft.exact(1).build().exact_confidence == 1
+    with pytest.raises(ValueError):
+        draft.fuzzy("0.8", "0.8").build()
+
+
+def test_results_pass_errors_on(spark):
+    rows = spark.createDataFrame([(4,), (None,), (-3,)], "v int")
+    first = R.checked(F.col("v"), "int", "missing")
+    second = R.then(first, lambda v: F.when(v > 0, R.success(v)).otherwise(R.failure("negative", "int")), "int")
+    got = rows.select(R.mapped(second, lambda v: v * 2, "int").alias("r")).select("r.value", "r.error.message").collect()
+    assert [tuple(r) for r in got] == [(8, None), (None, "missing"), (None, "negative")]
+    assert rows.where("v = 4").select(R.value_or_raise(second, "int")).first()[0] == 4
+    with pytest.raises(Exception, match="negative"):
+        rows.where("v = -3").select(R.value_or_raise(second, "int")).collect()
+    with pytest.raises(Exception, match="three characters"):
+        rows.select(S.money(F.lit(1).cast("decimal(18,2)"), F.lit("EURO"))).collect()
