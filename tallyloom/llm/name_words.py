@@ -40,7 +40,8 @@ def parsed_names(rows: DataFrame, name_col: str) -> DataFrame:
         return pd.DataFrame([name_words(x) or (None, None, None) for x in names], columns=["words", "initials", "legal"])
 
     names = rows.where(F.col(name_col).isNotNull()).select(F.col(name_col).alias("name")).distinct()
-    return names.withColumn("p", parts("name")).where("p.words is not null").select("name", "p.*")
+    # Else the optimizer would ask for the words of every row, before rows are made distinct.
+    return names.withColumn("p", parts.asNondeterministic()("name")).where("p.words is not null").select("name", "p.*")
 
 
 def _grams(word: Column) -> Column:
