@@ -21,7 +21,7 @@ from tallyloom.operators.match import bucket_sizes, match, match_exact, match_re
 from tallyloom.operators.normalize import normalize
 from tallyloom.operators.reconcile import reconcile, summary
 from tallyloom.options import ReconOptions, ToleranceRule
-from tallyloom.plans.shared import shared_dir, spread, write_table
+from tallyloom.plans.shared import own_folder, spread, write_table
 from tallyloom.plans.strategies import Fuzzy, Partial, pipeline_from_names
 from tallyloom.sources.files import page, read_raw
 from tallyloom.tables import Tables
@@ -229,7 +229,7 @@ def _as_raw(rows: DataFrame, file: str) -> DataFrame:
 
 def _end_to_end(t: Tables) -> DataFrame:
     s, g = _both(t)
-    folder = f"{shared_dir(s.sparkSession)}/tallyloom/ledger-files-{uuid.uuid4().hex}"
+    folder = f"{own_folder(s.sparkSession)}/ledger-files-{uuid.uuid4().hex}"
     for side, rows in (("source", s), ("target", g)):
         _as_raw(spread(rows), f"{side}.csv").write.option("header", True).csv(f"{folder}/{side}")
     report = reconcile(*[read_raw(s.sparkSession, f"{folder}/{side}", "Csv")[0] for side in ("source", "target")], OPTIONS)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -21,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "local[*]").startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local[*]")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="tallyloom-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
@@ -32,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
 def write_table(df: DataFrame, label: str) -> DataFrame:
     """Writes df once and reads it back: lineage ends here, and a lost executor costs only a reread."""
     spark = df.sparkSession
-    path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_at = path
@@ -50,13 +51,14 @@ def _delete(spark: SparkSession, path: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _own_folder(spark: SparkSession) -> str:
+def own_folder(spark: SparkSession) -> str:
+    """Where this application writes, in the folder that all executors share."""
     return f"{shared_dir(spark)}/tallyloom/{spark.sparkContext.applicationId}"
 
 
 def drop_tables(spark: SparkSession) -> None:
     """Deletes the tables this application has written; frames that were made from them can't be read afterwards."""
-    _delete(spark, _own_folder(spark))
+    _delete(spark, own_folder(spark))
 
 
 def spread(df: DataFrame) -> DataFrame:
