@@ -23,7 +23,7 @@ from tallyloom.plans.shared import spread, write_table
 
 WORD = re.compile(r"[^\W_]+")
 #: The bitmap has so many bits for each run of an item, and between these numbers of bits (powers of two) in all; beyond, more stretches leave a task and are dropped by the join.
-BITS_A_RUN, LEAST_BITS, MOST_BITS = 64, 1 << 20, 1 << 27
+BITS_A_RUN, LEAST_BITS, MOST_BITS = 64, 1 << 24, 1 << 27
 #: Characters of documents that are worked on at a time within a task; a longer document stands alone.
 CHUNK_CHARS = 2_000_000
 #: Words whose hashes a task keeps.
@@ -41,23 +41,22 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
 class Hasher:
     """64-bit hashes of words, kept while a task runs."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.known, self.nothing = _Hashes(), np.uint64(xxhash.xxh64_intdigest(""))
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > MOST_CACHED:
-            known.clear()
-        out = np.empty(len(words), "uint64")
-        for i, w in enumerate(words):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w)
-            out[i] = h
-        return out
+        if len(self.known) > MOST_CACHED:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, words), "uint64", len(words))
 
 
 def rolling(ids: np.ndarray, k: int) -> np.ndarray:
@@ -162,14 +161,14 @@ def _stretches(documents: DataFrame, id_type: str, bitmap: np.ndarray, k: int) -
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits, hasher = held.value, Hasher()
-        most = np.uint64(len(bits) * 64)
+        most = np.uint64(len(bits) * 64 - 1)
 
         def kept(rows: list[tuple[int, object, list[str]]]) -> pd.DataFrame:
             words = [w for *_, ws in rows for w in ws]
             owner = np.repeat(np.arange(len(rows)), [len(ws) for *_, ws in rows])
-            h = rolling(hasher(words), k)
-            gaps = np.concatenate([[0], np.cumsum(np.fromiter((not w for w in words), bool, len(words)))])
-            slot = h % most
+            ids = hasher(words)
+            h, gaps = rolling(ids, k), np.concatenate([[0], np.cumsum(ids == hasher.nothing)])
+            slot = h & most
             hit = (bits[(slot >> np.uint64(6)).astype("int64")] >> (slot & np.uint64(63))) & np.uint64(1)
             at = np.flatnonzero((hit == 1) & (gaps[k:] == gaps[: len(h)]))
             found = []
