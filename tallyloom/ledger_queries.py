@@ -23,6 +23,7 @@ from tallyloom.operators.reconcile import reconcile, summary
 from tallyloom.options import ReconOptions, ToleranceRule
 from tallyloom.plans.shared import own_folder, spread, write_table
 from tallyloom.plans.strategies import Fuzzy, Partial, pipeline_from_names
+from tallyloom.schemas import RAW
 from tallyloom.sources.files import page, read_raw
 from tallyloom.tables import Tables
 from tallyloom.value_sql import dates_sql, trimmed
@@ -181,6 +182,27 @@ def _counters(t: Tables) -> DataFrame:
     return report.summary.select(*cols, (F.col("match_rate") * 100).cast("bigint").alias("match_rate_bp"))
 
 
+def _written(t: Tables, label: str) -> str:
+    return f"{own_folder(t.spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _through_json(t: Tables) -> DataFrame:
+    """Raw rows written as JSON, an object a line, and read back."""
+    folder = _written(t, "raw-json")
+    t.raw_txn.select(*RAW.fieldNames()).write.json(folder)
+    return read_raw(t.spark, folder, "Json")[0].select(*RAW.fieldNames())
+
+
+def _through_mt940(t: Tables) -> DataFrame:
+    """Orders written as statements of a thousand keys, and read back."""
+    folder, key = _written(t, "statements"), F.col("o_orderkey")
+    orders = t.orders.select(key, F.floor(key / 1000).alias("stmt"), F.date_format("o_orderdate", "yyMMdd").alias("day"), F.replace(F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("."), F.lit(",")).alias("amount"), "o_orderpriority")
+    lines = orders.select("stmt", key.alias("at"), F.concat(F.lit(":61:"), "day", F.when(key % 3 == 0, "D").otherwise("C"), "amount", F.lit("NTRFORD"), key.cast("string"), F.lit("\n:86:"), "o_orderpriority").alias("line"))
+    head = orders.select("stmt").distinct().select("stmt", F.lit(-1).cast("bigint").alias("at"), F.concat(F.lit(":20:S"), F.col("stmt").cast("string"), F.lit("\n:25:BANK/DE00"), F.col("stmt").cast("string"), F.lit("\n:60F:C240101EUR0,00")).alias("line"))
+    lines.unionByName(head).repartition("stmt").sortWithinPartitions("stmt", "at").select("stmt", "line").write.partitionBy("stmt").text(folder)
+    return read_raw(t.spark, f"{folder}/*/*", "Mt940")[0].select("reference", "amount", "currency", "value_date", "description", "iban", "row_number")
+
+
 def _money(t: Tables) -> DataFrame:
     rows = t.raw_txn.where(S.currency_code(F.col("currency")).isNotNull()).select(S.money(S.parse_amount(F.col("amount")), F.col("currency")).alias("m"))
     return rows.where("m.amount is not null").groupBy("m.currency").agg(F.count(F.lit(1)).alias("n"), F.sum(cents(F.col("m.amount"))).cast("bigint").alias("cents"))
@@ -210,6 +232,8 @@ QUERIES |= {
     "reconcile_raw": over(_reconciled_raw),
     "report_counters": over(_counters),
     "report_page": over(lambda t: page(_transaction_pairs(t), ["s_ordinal"], 2, 100).select("s_id", "t_id", "strategy")),
+    "files_json": over(_through_json),
+    "files_mt940": over(_through_mt940),
     "money_of": over(lambda t: _money(t)),
     "result_chain": over(lambda t: _chained(t)),
     "drafted_options": over(lambda t: _shown(match(*_sides(t), ReconOptions.draft().fuzzy("0.70", "0.95").tolerance(absolute=5).build()), "s_id", "t_id")),
@@ -368,6 +392,9 @@ SQL: dict[str, str] = {
     "money_of": over(lambda t: _money(t)),
     "result_chain": over(lambda t: _chained(t)),
     "drafted_options": over(lambda t: _shown(match(*_sides(t), ReconOptions.draft().fuzzy("0.70", "0.95").tolerance(absolute=5).build()), "s_id", "t_id")),
+    "files_json": "select reference, amount, currency, value_date, description, iban, counterparty_name, booking_date, row_number, source_file from raw_txn",
+    "files_mt940": """select 'ORD' || o_orderkey as reference, case when o_orderkey % 3 = 0 then '-' else '' end || replace(cast(cast(o_totalprice as decimal(18,2)) as varchar), '.', ',') as amount, 'EUR' as currency, '20' || strftime(o_orderdate, '%y%m%d') as value_date,
+        o_orderpriority as description, 'DE00' || (o_orderkey // 1000) as iban, cast(row_number() over (partition by o_orderkey // 1000 order by o_orderkey) as int) as row_number from orders""",
     "money_of": f"with {_amount_sql('raw_txn', 'a')} select upper({_TRIM.format('currency')}) as currency, count(*) as n, cast(sum(cents) as bigint) as cents from raw_txn join a on raw_txn.amount = a.raw where cents is not null and length({_TRIM.format('currency')}) = 3 group by 1",
     "result_chain": f"with {_amount_sql('raw_txn', 'a')} select raw_id, case when cents >= 0 then cents // 2 end as half_cents, case when cents is null then 'no number' when cents < 0 then 'below zero' end as message from raw_txn left join a on raw_txn.amount = a.raw",
     "drafted_options": f"{_TXN_CASCADE} select * from pairs",
