@@ -25,8 +25,8 @@ from tallyloom.plans.strategies import MatchStrategy, Partial
 
 KEY = ["ref", "currency"]
 CELL = ["ac", "dc"]
-#: Sources that one group of cells should hold, about.
-GROUP_ROWS = 20_000
+#: Sources that one group of cells should hold, about; neighbouring cells, so many of amount and of date, go to one group.
+GROUP_ROWS, BLOCK = 20_000, (16, 4)
 #: From this percentage on amounts don't cut a bucket, as nearly all are within tolerance of one another.
 WIDEST_PERCENTAGE = 50
 #: Width of a cell in tolerances, a little more than one on each side of a source.
@@ -51,11 +51,15 @@ def _cell(value: Column, width: float) -> Column:
     return F.floor(value / F.lit(width)).cast("bigint")
 
 
+def _group(groups: int) -> Column:
+    return F.pmod(F.xxhash64(*KEY, *[F.floor(F.col(c) / F.lit(n)) for c, n in zip(CELL, BLOCK, strict=True)]), F.lit(groups)).cast("int")
+
+
 def _sources(s: DataFrame, rule: ToleranceRule, groups: int) -> DataFrame:
     day = F.coalesce(F.datediff("date", F.lit("1970-01-01").cast("date")), F.lit(NO_DAY))
     ready = s.where("amount is not null").select(*KEY, "id", F.coalesce("ordinal", F.lit(LAST)).alias("ordinal"), (F.col("amount") * 100).cast("bigint").alias("cents"), day.cast("bigint").alias("day"))
     placed = ready.withColumn("ac", _cell(_scale(F.col("cents"), rule), 2 * REACH)).withColumn("dc", _cell(F.col("day"), 2 * rule.date_window_days + 1))
-    return placed.withColumn("g", F.pmod(F.xxhash64(*KEY, *CELL), F.lit(groups)).cast("int"))
+    return placed.withColumn("g", _group(groups))
 
 
 def _seen(t: DataFrame, sources: DataFrame, pipeline: Sequence[MatchStrategy], rule: ToleranceRule, groups: int) -> DataFrame:
@@ -78,15 +82,14 @@ def _seen(t: DataFrame, sources: DataFrame, pipeline: Sequence[MatchStrategy], r
         met = write_table(split.join(sizes, [*KEY, "size"]), "parts-of-amounts")
         by_cell = met.join(whole, [*KEY, "whole"]).select(*KEY, *CELL, "size").distinct()
         seen = seen.unionByName(ready.withColumn("size", F.abs("cents")).join(by_cell, [*KEY, "size"]).select(*seen.columns)).distinct()
-    return seen.withColumn("g", F.pmod(F.xxhash64(*KEY, *CELL), F.lit(groups)).cast("int"))
+    return seen.withColumn("g", _group(groups))
 
 
-def matched_in_cells(s: DataFrame, t: DataFrame, pipeline: Sequence[MatchStrategy], options: ReconOptions, group_rows: int = GROUP_ROWS) -> DataFrame:
+def matched_in_cells(s: DataFrame, t: DataFrame, pipeline: Sequence[MatchStrategy], options: ReconOptions, group_rows: int | None = None) -> DataFrame:
     """The pairs of buckets s and t (ref, currency, ordinal, id, amount, date) under the strategies Exact, Fuzzy and Partial."""
     rule = options.tolerance
     s_type, t_type = s.schema["id"].dataType.simpleString(), t.schema["id"].dataType.simpleString()
-    total = s.count()
-    groups = max(min(8, -(-total // 200)), total // group_rows, 1)
+    groups = max(1, -(-s.count() // (group_rows or GROUP_ROWS)))
     sources = write_table(_sources(s, rule, groups), "cell-sources")
     targets = write_table(_seen(t, sources, pipeline, rule, groups), "cell-targets")
     claim = f"ref string, currency string, g int, s_id {s_type}, t_id {t_type}, s_ordinal bigint, t_ordinal bigint, s_cents bigint, t_cents bigint, s_day bigint, t_day bigint, strategy string, score decimal(5,4)"
@@ -117,7 +120,7 @@ def matched_in_cells(s: DataFrame, t: DataFrame, pipeline: Sequence[MatchStrateg
         now = tuple(after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("s_id", "t_id", "strategy").cast("decimal(38,0)"))).first())
         drop_table(claims)
         claims = after
-        if now == mark:
+        if now == mark or groups == 1:
             break
         mark = now
     day = lambda c: F.when(F.col(c) != NO_DAY, F.date_add(F.lit("1970-01-01").cast("date"), F.col(c).cast("int")))

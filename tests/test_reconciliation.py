@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyloom import ledgers
 from tallyloom.functions.divisors import divisors
+from tallyloom.operators import match_cells
 from tallyloom.operators.classify import classify, reason_counts
 from tallyloom.operators.match import match, match_exact, match_results, numbered, unmatched_sources, unmatched_targets
 from tallyloom.operators.normalize import normalize
@@ -63,7 +64,8 @@ def random_rows(rng, n, start):
 
 @pytest.mark.parametrize("names", [["Exact", "Fuzzy", "Partial"], ["Partial", "Exact"], ["Fuzzy"], ["Exact"]])
 @pytest.mark.parametrize("fold_most", [4096, 0])
-def test_cascade_equals_sequence(spark, names, fold_most):
+def test_cascade_equals_sequence(spark, names, fold_most, monkeypatch):
+    monkeypatch.setattr(match_cells, "GROUP_ROWS", 15)
     rng = random.Random(7)
     s, t = random_rows(rng, 60, 0), random_rows(rng, 60, 1000)
     got = match(frame(spark, s), frame(spark, t), O, pipeline_from_names(names), fold_most).select("s_ordinal", "t_ordinal", "strategy").collect()
@@ -278,8 +280,10 @@ def test_ids_decide_in_a_match(spark):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_large_bucket_in_rounds(spark, seed):
+def test_large_bucket_in_rounds(spark, seed, monkeypatch):
     """A contended bucket cut into cells, with amounts and dates that overlap from cell to cell, takes turns as one."""
+    monkeypatch.setattr(match_cells, "GROUP_ROWS", 20)
+    monkeypatch.setattr(match_cells, "BLOCK", (1, 1))
     rng = random.Random(seed)
     make = lambda n, start: [("A", "EUR", start + i, D(rng.choice([rng.randrange(900, 1100), rng.randrange(-300, 300), 5, 50, 1000])) + D(rng.choice(["0", "0.50"])), DAY + timedelta(rng.randrange(9))) for i in range(n)]
     s, t = make(150, 0), make(140, 1000)
