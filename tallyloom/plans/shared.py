@@ -65,8 +65,8 @@ def spread(df: DataFrame) -> DataFrame:
     """df itself, or, if all it reads are fewer files than there are cores (a small table), its rows dealt out to all of them."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     plan = df._jdf.queryExecution().optimizedPlan()
-    files = len(df.inputFiles())
-    return df.repartition(cores) if 0 < files < cores and int(str(plan.stats().sizeInBytes())) < cores * SMALL_PART else df
+    small = int(str(plan.stats().sizeInBytes())) < cores * SMALL_PART
+    return df.repartition(cores) if small and 0 < len(df._jdf.inputFiles()) < cores else df
 
 
 def hot_keys(counts: DataFrame, n: str = "n", most: int = 1000) -> DataFrame | None:
