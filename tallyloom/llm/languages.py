@@ -166,28 +166,36 @@ def mixture(like: np.ndarray, owner: np.ndarray, n: np.ndarray, docs: int) -> tu
     """(proportions of each document's languages, posteriors of each sentence's) by expectation-maximisation.
 
     Each round takes sentences' posteriors under their document's proportions, then proportions from the posteriors by
-    words, until no proportion moves. Languages whose removal costs a document less than PENALTY are then dropped, the least useful first, until
-    each that is left earns its place, and the proportions are fitted anew.
+    words, until no proportion moves. Languages whose removal costs a document less than PENALTY are then dropped, the
+    least useful first, until each that is left earns its place, and the proportions are fitted anew.
     """
     k = like.shape[1]
     allowed = np.ones((docs, k), bool)
     top = like.max(1, keepdims=True) if len(like) else np.zeros((0, 1))
     weight = np.exp(like - top)
-
-    def fit(allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        share = allowed / allowed.sum(1, keepdims=True)
-        moved, rounds = 1.0, 0
-        while moved >= TOLERANCE and rounds < MOST_ROUNDS:
-            post = share[owner] * weight
-            post /= np.maximum(post.sum(1, keepdims=True), 1e-300)
-            now = np.stack([np.bincount(owner, post[:, j] * n, docs) for j in range(k)], 1) + 1e-3 * allowed
+    share, post = np.zeros((docs, k)), np.zeros_like(weight)
+
+    def fit(chosen: np.ndarray) -> None:
+        """share and post of the chosen documents anew; each leaves the rounds once its own proportions rest."""
+        share[chosen] = allowed[chosen] / allowed[chosen].sum(1, keepdims=True)
+        rows = np.flatnonzero(chosen[owner])
+        ids = np.flatnonzero(chosen)
+        place = (np.cumsum(chosen) - 1)[owner[rows]]
+        for _ in range(MOST_ROUNDS):
+            p = share[ids][place] * weight[rows]
+            p /= np.maximum(p.sum(1, keepdims=True), 1e-300)
+            post[rows] = p
+            now = np.stack([np.bincount(place, p[:, j] * n[rows], len(ids)) for j in range(k)], 1) + 1e-3 * allowed[ids]
             now /= now.sum(1, keepdims=True)
-            moved, share, rounds = np.abs(now - share).max(initial=0.0), now, rounds + 1
-        if moved >= TOLERANCE:
-            warnings.warn(f"proportions still move by {moved:.2g} after {rounds} rounds", stacklevel=2)
-        return share, post
-
-    share, post = fit(allowed)
+            going = np.abs(now - share[ids]).max(1, initial=0.0) >= TOLERANCE
+            share[ids] = now
+            kept = going[place]
+            rows, place, ids = rows[kept], (np.cumsum(going) - 1)[place[kept]], ids[going]
+            if not len(ids):
+                return
+        warnings.warn(f"proportions of {len(ids)} documents still move after {MOST_ROUNDS} rounds", stacklevel=2)
+
+    fit(np.ones(docs, bool))
     for _ in range(k - 1):
         each = share[owner] * weight
         whole = np.maximum(each.sum(1), 1e-300)
@@ -200,7 +208,7 @@ def mixture(like: np.ndarray, owner: np.ndarray, n: np.ndarray, docs: int) -> tu
         if not drop.any():
             break
         allowed[np.flatnonzero(drop), worst[drop]] = False
-        share, post = fit(allowed)
+        fit(drop)
     return share, post
 
 
