@@ -80,13 +80,16 @@ class InstantDictionary:
         counts = known.groupBy(FEED, KEY).agg(F.count(F.lit(1)).alias("n"), F.min(VALUE).alias(VALUE))
         if not self.path:
             return write_table(self.parse(counts), "instants")
+        batch, batches = f"{self.path}/batch-{uuid.uuid4().hex}", self._batches()
+        if not batches:
+            # The first batch is the dictionary itself; its counts are those of this load and are read by nobody else.
+            parsed = self.parse(counts)
+            parsed.write.parquet(batch)
+            return self.spark.read.schema(parsed.schema).parquet(batch)
         counts = write_table(counts, "instant-texts")
-        if batches := self._batches():
-            fresh = write_table(counts.join(self.spark.read.schema(self.SCHEMA).parquet(*batches).select(FEED, KEY), [FEED, KEY], "left_anti"), "instant-texts")
-        else:
-            fresh = counts
+        fresh = write_table(counts.join(self.spark.read.schema(self.SCHEMA).parquet(*batches).select(FEED, KEY), [FEED, KEY], "left_anti"), "instant-texts")
         if fresh.take(1):
-            self.parse(fresh).select(FEED, KEY, "norm", "real").write.parquet(f"{self.path}/batch-{uuid.uuid4().hex}")
+            self.parse(fresh).select(FEED, KEY, "norm", "real").write.parquet(batch)
         return write_table(counts.drop(VALUE).join(self.stored(), [FEED, KEY]), "instants")
 
 
