@@ -105,9 +105,9 @@ def resembles(short: str, word: str) -> bool:
 
 
 def similarity(a: str, b: str) -> float:
-    """1 for equal words, less for words of SHORTEST letters or more one edit apart, the less the shorter they are, else 0."""
+    """1 for equal words, less for words of SHORTEST letters or more (and nothing but letters) one edit apart, the less the shorter they are, else 0."""
     if a == b:
         return 1.0
-    if min(len(a), len(b)) < SHORTEST or not one_edit(a, b):
+    if min(len(a), len(b)) < SHORTEST or not one_edit(a, b) or not (a + b).isalpha():
         return 0.0
     return 1.0 - 1.0 / max(len(a), len(b))

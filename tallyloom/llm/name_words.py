@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tallyloom.llm.name_parts import SHORTEST, name_words, resembles, similarity
 from tallyloom.plans.shared import write_table
 
-#: A word is common if the words beside it begin in at least so many ways (by two letters).
-SPREAD = 10
+#: A word is common if the words beside it begin in at least so many ways (by two letters), or are so many; so a rare word has few beside it.
+SPREAD, MOST_BESIDE = 10, 200
 #: Words at most so far apart in a name stand beside one another.
 REACH = 8
 #: A word stands for a common word if at least this part of the rare words beside it have the other beside them too,
@@ -58,7 +58,8 @@ def _grams(word: Column) -> Column:
 
 
 def close_words(words: DataFrame) -> DataFrame:
-    """a, b, s: ordered pairs of different words (column word) one edit apart and their similarity.
+    """a, b, s: ordered pairs of different words (column word) one edit apart and their similarity. Words with digits are
+    numbers, not misspellings of one another.
 
     A set-similarity join on q-grams with prefix filter: of two words one edit apart that share runs of q letters, each
     has one of the other's q + 2 rarest, so only those are joined, by length too; overlap and edit then decide. Rarity
@@ -69,7 +70,7 @@ def close_words(words: DataFrame) -> DataFrame:
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    held = words.where(F.length("word") >= SHORTEST).select("word", F.explode(_grams(F.col("word"))).alias("g")).select("word", "g.q", "g.gram")
+    held = words.where((F.length("word") >= SHORTEST) & ~F.regexp_like("word", F.lit(r"\d"))).select("word", F.explode(_grams(F.col("word"))).alias("g")).select("word", "g.q", "g.gram")
     held = write_table(held, "word-grams")
     ranked = held.join(held.groupBy("gram").agg(F.count(F.lit(1)).alias("df")), "gram")
     rank = F.row_number().over(Window.partitionBy("word", "q").orderBy("df", "gram"))
@@ -94,11 +95,11 @@ def word_meanings(names: DataFrame, close: DataFrame | None = None) -> DataFrame
     near = F.transform("words", lambda w, i: F.struct(w.alias("word"), F.filter(F.slice("words", F.greatest(i + 1 - REACH, F.lit(1)), F.lit(2 * REACH + 1)), lambda o: o != w).alias("others")))
     held = write_table(names.select("name", F.explode(near).alias("e")).select("name", "e.*"), "name-words")
     counts = held.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    starts = held.select("word", F.explode("others").alias("o")).select("word", F.left("o", F.lit(2)).alias("o")).distinct().groupBy("word").agg(F.count(F.lit(1)).alias("spread"))
-    known = write_table(counts.join(starts, "word", "left").select("word", "n", F.coalesce(F.col("spread") >= SPREAD, F.lit(False)).alias("common")), "word-counts")
+    neighbours = write_table(held.select(F.col("word").alias("rare"), F.explode("others").alias("word")).distinct(), "neighbours")
+    starts = neighbours.groupBy("rare", F.left("word", F.lit(2))).agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("rare").alias("word")).agg(F.count(F.lit(1)).alias("spread"), F.sum("n").alias("beside"))
+    known = write_table(counts.join(starts, "word", "left").select("word", "n", F.coalesce((F.col("spread") >= SPREAD) | (F.col("beside") >= MOST_BESIDE), F.lit(False)).alias("common")), "word-counts")
 
-    beside = held.select(F.col("word").alias("rare"), F.explode("others").alias("word")).distinct()
-    beside = write_table(beside.join(known.where("not common").select(F.col("word").alias("rare")), "rare", "left_semi"), "beside-rare-words")
+    beside = write_table(neighbours.join(known.where("not common").select(F.col("word").alias("rare")), "rare", "left_semi"), "beside-rare-words")
     total = beside.select("rare").distinct().count()
     per_word = beside.groupBy("word").agg(F.count(F.lit(1)).alias("rares"))
     pairs = beside.select("rare", F.col("word").alias("x")).join(beside.select("rare", F.col("word").alias("y")), "rare").where("x <> y")

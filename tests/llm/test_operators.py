@@ -282,6 +282,13 @@ def test_names_are_learnt(spark):
     assert means["massl"] == ["thomas"] and means["burgl"] == ["walburga"] and means["crptry"] == ["carpentry"] and means["thomas"] == ["thomas"]
 
 
+def test_numbered_names(spark):
+    """A word beside thousands of numbers is common, and numbers aren't misspellings."""
+    rows = spark.range(3000).select(F.concat(F.lit("Client "), F.lpad(F.col("id").cast("string"), 6, "0")).alias("name")).unionByName(spark.createDataFrame([("CLIENT 000007",)], "name string"))
+    assert [tuple(r) for r in name_pairs(rows, "name").collect()] == [("CLIENT 000007", "Client 000007")]
+    assert word_meanings(parsed_names(rows, "name")).where("common").select("word").collect()[0]["word"] == "client"
+
+
 def test_few_names(spark):
     groups = [["Thomas Keller", "Keller, Tom", "KELLER THOMAS", "Thomas Keler"], ["Gertrude Keller"], ["Acme Software Ltd", "Acme Softw. Limited"], ["Zuzelina Kappa"], ["Robert Rossi"], ["Robert Rossini"]]
     rows = spark.createDataFrame([(x, "e", 1) for x in [x for g in groups for x in g] + [None, "-", "unknown", "Thomas Keller", ""]], "counterparty_name string, entity string, n int")
